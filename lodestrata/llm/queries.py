@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, neighbours, token_records, url_filters
-from .common import table
+from . import decontaminate, language, lm, mixing, neighbours, token_records, toxicity, url_filters
+from .common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -37,6 +37,14 @@ def op1_nearest_neighbours(spark, sf_dir):
     return neighbours.search(vectors, F.col("vec_id") % 20 == 0, 20)
 
 
+@query()
+def op2_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    net = language.fit(docs, fold(F.col("doc_id"), 5) != 0)
+    found = language.predict(docs.select("doc_id", "text"), net)
+    return found.select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 @query()
 def op3_token_records(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
@@ -70,6 +78,13 @@ def op4_url_filters(spark, sf_dir):
     return url_filters.evaluate(captures, entries).withColumn("fetched_at", F.col("fetched_at").cast("string"))
 
 
+@query()
+def op5_lm_scoring(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    seventh = fold(F.col("doc_id"), 7)
+    return lm.score(docs, seventh != 2, F.coalesce(seventh == 2, F.lit(False)))
+
+
 @query()
 def op6_decontaminate(spark, sf_dir):
     return decontaminate.leaks(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
@@ -78,3 +93,12 @@ def op6_decontaminate(spark, sf_dir):
 @query()
 def op7_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+@query()
+def op10_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"), fold(F.col("doc_id"), 5) != 0)
+    found = toxicity.score(docs, model)
+    held = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    return found.select("doc_id", held.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
