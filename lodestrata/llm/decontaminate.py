@@ -134,18 +134,21 @@ class Matcher:
         return found
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, unit_chars: int = UNIT_CHARS, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document, item and matched unit: doc_id, item_id, unit, distance, start, end (characters of the normalised text)."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null").distinct()
+def item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of about ``block_bytes`` of text, one block on the driver at a time."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null and item_id is not null").distinct()
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-size // block_bytes))
-    passes = []
     for b in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()  # about block_bytes of text
-        passes.append(_pass(docs, spark.sparkContext.broadcast(sorted((r["item_id"], r["text"]) for r in rows if r["item_id"] is not None)), rate, unit_chars))
-    return reduce(DataFrame.unionByName, passes)
+        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
+        yield sorted((r["item_id"], r["text"]) for r in rows)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, unit_chars: int = UNIT_CHARS, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document, item and matched unit: doc_id, item_id, unit, distance, start, end (characters of the normalised text)."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    share = docs.sparkSession.sparkContext.broadcast
+    return reduce(DataFrame.unionByName, [_pass(docs, share(block), rate, unit_chars) for block in item_blocks(benchmark, block_bytes)])
 
 
 def _pass(docs: DataFrame, items, rate: float, unit_chars: int) -> DataFrame:
@@ -163,14 +166,10 @@ def _pass(docs: DataFrame, items, rate: float, unit_chars: int) -> DataFrame:
     return docs.mapInArrow(run, SCHEMA)
 
 
-def flag(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, unit_chars: int = UNIT_CHARS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` that hold no test item, all columns kept: the same automaton, read as a filter beside the rows, so no join is needed."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null and item_id is not null").distinct()
-    size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-size // block_bytes))
-    for b in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        docs = _clean(docs, docs.sparkSession.sparkContext.broadcast(sorted((r["item_id"], r["text"]) for r in rows)), rate, unit_chars)
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, unit_chars: int = UNIT_CHARS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` that hold no test item, all columns kept. The automaton filters the rows where they are, so there is no join."""
+    for block in item_blocks(benchmark, block_bytes):
+        docs = _clean(docs, docs.sparkSession.sparkContext.broadcast(block), rate, unit_chars)
     return docs
 
 

@@ -235,7 +235,8 @@ def labeller(net: Network) -> Labeller:
 
 
 def predict(docs: DataFrame, net: Network | None, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with lang_pred and lang_score."""
+    """All columns of ``docs`` with lang_pred and lang_score; columns of these names are replaced."""
+    docs = docs.drop("lang_pred", "lang_score", "_letter")
     if net is None:
         return docs.withColumns({"lang_pred": F.lit("und"), "lang_score": F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(net)  # a few thousand weights

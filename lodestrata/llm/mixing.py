@@ -100,8 +100,8 @@ def fit(lengths: list[int], counts: list[int], budget: int, dp_words: int = DP_W
     return taken
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = MAX_REPEATS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken (and the columns ``keep``), one row per document."""
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = MAX_REPEATS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep_rows: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken, one row per document; with ``keep_rows`` also ``row``, a struct of all of its columns."""
     spark = docs.sparkSession
     sized = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -109,7 +109,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = MAX_RE
         F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("")).alias("_s"),  # no null, so that joins are plain
         word_count(F.col(text_col)).alias("size"),
         F.xxhash64(F.col(id_col), F.xxhash64(F.col(text_col)), F.lit(seed)).alias("_h"),
-        *[F.col(c).alias(f"_keep_{c}") for c in keep or []],
+        *([F.struct(*docs.columns).alias("row")] if keep_rows else []),
     ).withColumn("_b", F.pmod("_h", F.lit(HASH_BUCKETS)).cast("int"))
     counted = Scratch(spark, "mixing").save(sized.groupBy("_s", "size", "_b").agg(F.count("*").alias("n")), "lengths")
     sums = counted.groupBy("_s").agg(F.sum(F.col("size") * F.col("n")).alias("words")).collect()  # one row per source
@@ -133,5 +133,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = MAX_RE
     copies = F.col("whole") + F.when(F.col("quota") >= F.col("n"), 1).when(F.col("quota") <= 0, 0).otherwise((rank <= F.col("quota")).cast("int"))
     copies = F.when(F.col("size") == 0, 0).otherwise(copies)
     return sized.join(shares, ["_s", "size", "_b"]).withColumn("copies", copies.cast("int")).select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[F.col(f"_keep_{c}").alias(c) for c in keep or []]
+        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["row"] if keep_rows else [])
     )
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
+    """The rows of the mix with the columns of ``docs``: a document taken twice is two rows, one not taken is none."""
+    taken = mix(docs, weights, cap, seed, keep_rows=True).filter("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

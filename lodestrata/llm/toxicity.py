@@ -289,15 +289,21 @@ def extractor(model: Model) -> Extractor:
     return _EXTRACTORS[key]
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``toxicity``, the calibrated probability."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "toxicity") -> DataFrame:
+    """All columns of ``docs`` with the calibrated probability in ``out``; a column of that name is replaced."""
+    docs = docs.drop(out)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred words and 80 small trees
-    schema = docs.withColumn("toxicity", F.lit(0.0)).schema
+    schema = docs.withColumn(out, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         extract = extractor(shared.value)
         for part in text_slices(batches, text_col):
             s = shared.value.score(extract(part.column(text_col)))
-            yield pa.record_batch([*part.columns, pa.array(s)], [*part.schema.names, "toxicity"])
+            yield pa.record_batch([*part.columns, pa.array(s)], [*part.schema.names, out])
 
     return docs.mapInArrow(run, schema)
+
+
+def clean(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows that score below ``least``, with the columns of ``docs``."""
+    return score(docs, model, out="__toxicity").filter(F.col("__toxicity") < least).select(*docs.columns)
