@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, lm, mixing, near_dedup, neighbours, token_records, toxicity, url_filters
-from .common import fold, table
+from . import decontaminate, language, lm, mixing, near_dedup, neighbours, substring_dedup, token_records, toxicity, url_filters
+from .common import Scratch, fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -100,6 +100,13 @@ def op8_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), k=4, percent=80)
 
 
+@query()
+def op9_substring_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    shared = Scratch(spark, "op9").save(substring_dedup.passages(docs), "passages")
+    return substring_dedup.both_sides(shared)
+
+
 @query()
 def op10_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
