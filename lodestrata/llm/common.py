@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +86,10 @@ def words_of(text: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(([0], np.cumsum(counts))), codes, words
 
 
+def word_hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions starts[i] .. starts[i] + lengths[i] - 1, one run after the other."""
     total = int(lengths.sum())

@@ -24,11 +24,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions, segment_sums, text_slices, words_of
+from .common import Scratch, partitions, segment_sums, text_slices, word_hashes, words_of
 
 BITS_PER_KEY, PROBES, MAX_BYTES = 10, 6, 32 << 20
 TOP_WORDS = 400_000
@@ -47,10 +46,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), U, len(words))
-
-
 def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mix64(first * M1 + (second ^ (second >> U(32))) * M3 + M2)
 

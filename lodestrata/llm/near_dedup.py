@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_slices, words_of
+from .common import Scratch, text_slices, word_hashes, words_of
 from .components import connected
-from .lm import U, mix64, word_hashes
+from .lm import U, mix64
 
 REGISTERS, ROWS = 128, 4
 MANTISSA = 10

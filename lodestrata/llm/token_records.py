@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, ragged, text_slices, words_of
+from .common import Scratch, ragged, text_slices, word_hashes, words_of
 
 MASK = 0xA282EAD8  # fixed value
 HEAD = "<BqQQB"
 SHARD_BYTES = 16 << 20
-CACHE_WORDS = 700_000
+CACHE_WORDS = 2_000_000
 JOIN_WORDS = 500
 
 INDEX_SCHEMA = "doc_id long, shard int, offset long, length long, local_start long, n_tokens long, ids_crc32 long"
@@ -64,50 +64,86 @@ def read_frame(data: memoryview, at: int) -> tuple[memoryview, int]:
 
 class WordEncoder:
     """Encodes texts word by word. The tokenizer splits at ASCII white space before anything else, so a text's ids are those of its
-    words in turn; distinct words are encoded once, joined by spaces, and kept up to a bound on their number."""
+    words in turn; distinct words are encoded once, joined by spaces, and kept under 64-bit hashes up to a bound on their number. It lower-cases and parts
+    letters from signs, so words of ASCII letters share an entry whatever their case and a last sign."""
 
     def __init__(self, spec: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache_words = Tokenizer.from_str(spec), cache_words
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.signs = {s: self.tokenizer.encode(s, add_special_tokens=False).ids for s in ".,;:!?"}
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
+        self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.starts, self.ids, self.used = np.zeros(1, np.int64), np.zeros(1 << 16, f"<u{self.width}"), 0
 
-    def _learn(self, words: list[str]) -> None:
-        starts = [self.starts]
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row and how many each has."""
+        ids, counts = [], []
         for i in range(0, len(words), JOIN_WORDS):
             part = words[i : i + JOIN_WORDS]
             found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             begins = np.cumsum([0] + [len(w) + 1 for w in part])
             offsets = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
-            counts = np.bincount(np.searchsorted(begins, offsets, side="right") - 1, minlength=len(part))
-            n = len(found.ids)
-            while self.used + n > len(self.ids):
-                self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-            self.ids[self.used : self.used + n] = found.ids
-            starts.append(self.used + np.cumsum(counts))
-            self.used += n
-        at = len(self.place)
-        self.place.update((w, at + i) for i, w in enumerate(words))
-        self.starts = np.concatenate(starts)
+            counts.append(np.bincount(np.searchsorted(begins, offsets, side="right") - 1, minlength=len(part)))
+            ids.append(np.array(found.ids, f"<u{self.width}"))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _learn(self, words: list[str], hashes: np.ndarray) -> None:
+        stems: dict[str, int] = {}
+        own, last = np.empty(len(words), np.int64), np.full(len(words), -1)
+        for i, w in enumerate(words):
+            stem = w
+            if w.isascii():
+                if w.isalpha():
+                    stem = w.lower()
+                elif w[-1] in self.signs and w[:-1].isalpha() and len(self.signs[w[-1]]) == 1:
+                    stem, last[i] = w[:-1].lower(), self.signs[w[-1]][0]
+            own[i] = stems.setdefault(stem, len(stems))
+        ids, counts = self._encode(list(stems))
+        begins = np.cumsum(counts) - counts
+        length = counts[own]
+        total = length + (last >= 0)
+        ends = np.cumsum(total)
+        new = np.empty(int(ends[-1]), ids.dtype)
+        new[ragged(ends - total, length)] = ids[ragged(begins[own], length)]
+        new[ends[last >= 0] - 1] = last[last >= 0]
+        while self.used + len(new) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        self.ids[self.used : self.used + len(new)] = new
+        place = len(self.starts) - 1 + np.arange(len(words))
+        self.starts = np.concatenate((self.starts, self.used + ends))
+        self.used += len(new)
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.keys, hashes[order])
+        self.keys, self.place = np.insert(self.keys, at, hashes[order]), np.insert(self.place, at, place[order])
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of the hashes, -1 where unknown."""
+        if not len(self.keys):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where(self.keys[at] == hashes, self.place[at], -1)
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row and where each text's begin (one more than texts)."""
         starts, codes, words = words_of(text)
-        if len(self.place) + len(words) > self.cache_words:
+        if not len(codes):
+            return self.ids[:0], np.zeros(len(starts), np.int64)
+        if len(self.keys) + len(words) > self.cache_words:
             self.clear()
-        unseen = [w for w in words if w and w not in self.place]
+        hashes = word_hashes(words)
+        place = self._find(hashes)
+        unseen = [i for i in np.flatnonzero(place < 0).tolist() if words[i]]
         if unseen:
-            self._learn(unseen)
-        where = np.fromiter((self.place.get(w, 0) for w in words), np.int64, len(words))[codes] if len(codes) else np.zeros(0, np.int64)
-        length = self.starts[where + 1] - self.starts[where] if len(codes) else where
-        ids = self.ids[ragged(self.starts[where], length)] if len(codes) else self.ids[:0]
+            self._learn([words[i] for i in unseen], hashes[unseen])
+            place = self._find(hashes)
+        where = place[codes]
+        length = self.starts[where + 1] - self.starts[where]
         ends = np.concatenate(([0], np.cumsum(length)))
-        return ids, ends[starts]
+        return self.ids[ragged(self.starts[where], length)], ends[starts]
 
 
 _ENCODERS: dict[int, WordEncoder] = {}
