@@ -6,8 +6,9 @@ that follow, 16 bits in all. Four registers make a band; classes that share a ba
 
 Inside a band's group nothing is paired with everything: first each class meets the group's smallest one. Survivors of the collision-corrected estimate
 are verified on the full sets, and components are formed. Groups that still hold several components are looked at again: each class meets the nearest
-class of every other component, and after another round of components all pairs of different components that the estimate lets through.
-So every candidate pair of the bands is either verified or already connected. Groups too large for a task are cut into blocks that meet in pairs.
+class of another component, and after another round of components the full sets go to the groups still mixed, where all pairs of different
+components that the estimate lets through are verified in place and only links come out. So every candidate pair of the bands is either
+verified or already connected. Groups too large for a task are cut into blocks that meet in pairs.
 
 Documents that share a band but fail the estimate are apart by more than ``MARGIN`` standard deviations. Bands are missed by a pair of similarity 0.8
 with probability (1 - 0.8^4)^32, or 5 in 100 million.
@@ -163,6 +164,12 @@ def sets_of(docs: DataFrame, needed: DataFrame, k: int, scratch: Scratch, name:
     return scratch.save(wanted.dropDuplicates(["cls"]).select("cls", "shingles"), name)
 
 
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, for sorted distinct hashes."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes with 100 * intersection >= percent * union."""
     a = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa"))
@@ -173,8 +180,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = []
             for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                keep.append(alike(x, y, percent))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
@@ -211,8 +217,13 @@ def band_rows(classes: DataFrame) -> DataFrame:
     return classes.select("cls", "regs").mapInArrow(run, "cls long, band int, key long")
 
 
-def across(groups: DataFrame, threshold: float, nearest: bool) -> DataFrame:
-    """Candidate pairs of different components inside groups (band, key) of rows cls, n, regs, comp, g (group size)."""
+def across(groups: DataFrame, threshold: float, mode: str, percent: int = 80) -> DataFrame:
+    """Looks at pairs of different components inside groups (band, key) of rows cls, n, regs, comp, g (group size). Only pairs that the estimate lets
+    through count. What comes back depends on ``mode``:
+
+    ``nearest``: pairs (a, b), for each class the nearest one of another component. ``involved``: rows (band, key, cls) of classes with such a
+    pair whose first shared band this is. ``links``: pairs (a, b) verified on the full sets (column shingles), for each class and other
+    component from the nearest on until one is found."""
     least = least_estimate(threshold)
     salt = F.pmod(F.xxhash64("cls"), F.ceil(F.col("g") / BLOCK)).cast("int")
     blocks = groups.withColumn("s", salt).withColumn("t", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("g") / BLOCK) - 1).cast("int"))))
@@ -221,17 +232,17 @@ def across(groups: DataFrame, threshold: float, nearest: bool) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("cls")
         cls, comp, n, s = (t.column(c).to_numpy() for c in ("cls", "comp", "n", "s"))
-        b1, b2, band = t.column("b1")[0].as_py(), t.column("b2")[0].as_py(), t.column("band")[0].as_py()
+        apart, band = t.column("b1")[0].as_py() != t.column("b2")[0].as_py(), t.column("band")[0].as_py()
         regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
         comp = np.unique(comp, return_inverse=True)[1]
-        sizes = np.bincount(comp)
-        minor = np.flatnonzero(comp != sizes.argmax())  # pairs inside the largest component need no look
-        out_a, out_b = [], []
+        largest = np.bincount(comp).argmax()
+        minor = np.flatnonzero(comp != largest)  # pairs inside the largest component need no look
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         for at in range(0, len(minor), 64):
             rows = minor[at : at + 64]
-            near = np.minimum(n[rows, None], n[None, :]) >= threshold * np.maximum(n[rows, None], n[None, :]) - 1e-9
-            ok = near & (comp[rows, None] != comp[None, :])
-            if b1 != b2:
+            ok = np.minimum(n[rows, None], n[None, :]) >= threshold * np.maximum(n[rows, None], n[None, :]) - 1e-9
+            ok &= comp[rows, None] != comp[None, :]
+            if apart:
                 ok &= s[rows, None] != s[None, :]
             i, j = np.nonzero(ok)
             if not len(i):
@@ -240,21 +251,42 @@ def across(groups: DataFrame, threshold: float, nearest: bool) -> DataFrame:
             est = estimate(agree, n[rows[i]], n[j])
             good = est >= least
             i, j, est = rows[i[good]], j[good], est[good]
-            if nearest:
-                order = np.lexsort((j, -est, comp[j], i))
-                i, j = i[order], j[order]
-                new = np.concatenate(([True], (i[1:] != i[:-1]) | (comp[j][1:] != comp[j][:-1]))) if len(i) else np.zeros(0, bool)
-                i, j = i[new], j[new]
-            else:  # only where this band is the first the two share, and each pair of two minor rows once
+            if mode != "nearest" and len(i):  # a pair belongs to the first band it shares, and is looked at from one side
                 same = (regs[i].reshape(len(i), REGISTERS // ROWS, ROWS) == regs[j].reshape(len(j), REGISTERS // ROWS, ROWS)).all(axis=2)
-                keep = (same.argmax(axis=1) == band) & ((comp[j] == sizes.argmax()) | (i < j))
-                i, j = i[keep], j[keep]
-            out_a.append(np.minimum(cls[i], cls[j]))
-            out_b.append(np.maximum(cls[i], cls[j]))
-        flat = lambda x: pa.array(np.concatenate([np.zeros(0, np.int64), *x]), pa.int64())
-        return pa.table({"a": flat(out_a), "b": flat(out_b)})
-
-    return dealt.groupBy("band", "key", "b1", "b2").applyInArrow(run, "a long, b long").distinct()
+                keep = (same.argmax(axis=1) == band) & ((comp[j] == largest) | (i < j))
+                i, j, est = i[keep], j[keep], est[keep]
+            if not len(i):
+                continue
+            order = np.lexsort((j, -est, i) if mode == "nearest" else (j, -est, comp[j], i))
+            i, j = i[order], j[order]
+            if mode == "nearest":
+                new = np.concatenate(([True], i[1:] != i[:-1]))
+                i, j = i[new], j[new]
+            found.append((i, j))
+        i, j = (np.concatenate([np.zeros(0, np.int64), *(f[side] for f in found)]).astype(np.int64) for side in (0, 1))
+        if mode == "involved":
+            own = np.unique(np.concatenate((i, j)))
+            return pa.table({"band": pa.array([band] * len(own), pa.int32()), "key": pa.array([t.column("key")[0].as_py()] * len(own), pa.int64()), "cls": pa.array(cls[own], pa.int64())})
+        if mode == "links":
+            sets = [np.frombuffer(x.as_buffer(), U) for x in t.column("shingles")]
+            linked: set[tuple[int, int]] = set()
+            kept = []
+            for x, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+                if (a, comp[b]) not in linked and alike(sets[a], sets[b], percent):
+                    linked.add((a, comp[b]))
+                    kept.append(x)
+            i, j = i[kept], j[kept]
+        return pa.table({"a": pa.array(np.minimum(cls[i], cls[j]), pa.int64()), "b": pa.array(np.maximum(cls[i], cls[j]), pa.int64())})
+
+    schema = "band int, key long, cls long" if mode == "involved" else "a long, b long"
+    return dealt.groupBy("band", "key", "b1", "b2").applyInArrow(run, schema).distinct()
+
+
+def unsettled(bands: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:
+    """The groups that hold several components: band, key, cls, comp, g, n, regs."""
+    named = bands.join(comp.select(F.col("node").alias("cls"), "root"), "cls", "left").select("cls", "band", "key", F.coalesce("root", "cls").alias("comp"))
+    mixed = named.groupBy("band", "key").agg(F.count("*").alias("g"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("g > 2 and lo <> hi").select("band", "key", "g")
+    return named.join(mixed, ["band", "key"]).join(classes.select("cls", "n", "regs"), "cls")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,18 +312,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     links = scratch.save(verified(star, sets, percent).unionByName(same_id).distinct(), "links-0")
     comp = scratch.save(connected(links, scratch, "stars-a"), "comp-0")
 
-    for i, nearest in ((1, True), (2, False)):
-        named = bands.join(comp.select(F.col("node").alias("cls"), "root"), "cls", "left").select("cls", "band", "key", F.coalesce("root", "cls").alias("comp"))
-        mixed = named.groupBy("band", "key").agg(F.count("*").alias("g"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("g > 2 and lo <> hi").select("band", "key", "g")
-        groups = named.join(mixed, ["band", "key"]).join(classes.select("cls", "n", "regs"), "cls")
-        pairs = across(groups, threshold, nearest).join(star, ["a", "b"], "left_anti")
-        star = scratch.save(pairs, f"pairs-{i}")
-        if star.isEmpty():
-            continue
-        sets = sets_of(docs, needed(star), k, scratch, f"sets-{i}")
-        links = scratch.save(links.unionByName(verified(star, sets, percent)), f"links-{i}")
-        comp = scratch.save(connected(links, scratch, f"stars-{i}"), f"comp-{i}")
-        scratch.drop(f"sets-{i}")
+    # groups that still hold several components: nearest classes first, then whatever is left
+    mixed = scratch.save(unsettled(bands, classes, comp), "mixed-1")
+    near = scratch.save(across(mixed, threshold, "nearest").join(star, ["a", "b"], "left_anti"), "pairs")
+    sets = sets_of(docs, needed(near), k, scratch, "sets-1")
+    links = scratch.save(links.unionByName(verified(near, sets, percent)), "links-1")
+    comp = scratch.save(connected(links, scratch, "stars-b"), "comp-1")
+    scratch.drop("sets-0", "sets-1", "mixed-1")
+    mixed = scratch.save(unsettled(bands, classes, comp), "mixed-2")
+    left = mixed.join(scratch.save(across(mixed, threshold, "involved"), "involved"), ["band", "key", "cls"], "left_semi")
+    sets = sets_of(docs, left.select("cls").distinct().join(ids, "cls"), k, scratch, "sets-2")
+    links = scratch.save(links.unionByName(across(left.join(sets, "cls"), threshold, "links", percent)), "links-2")
+    comp = scratch.save(connected(links, scratch, "stars-c"), "comp-2")
+    scratch.drop("sets-2", "mixed-2")
 
     named = classes.join(comp.select(F.col("node").alias("cls"), "root"), "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("comp"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
