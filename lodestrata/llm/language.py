@@ -4,8 +4,8 @@ The network reads the letter bytes of a text, lower-cased; bytes that are no let
 state. It labels every letter byte with a distribution over languages; a document's distribution is the mean over its labelled bytes. Sequences
 do not depend on what surrounds them, so each distinct one is run once per worker and kept up to a bound.
 
-Training is backpropagation through time in numpy on a bounded sample: ``max_docs`` labelled documents a language in the order of a hash of the id, and
-``max_words`` words of each. Nothing else is bounded: every whole text is labelled, without a shuffle.
+Training is backpropagation through time in numpy on a bounded sample: ``max_docs`` labelled documents a language (MAX_TOTAL in all) in the order of a hash
+of the id, and ``max_words`` words of each. Nothing else is bounded: every whole text is labelled, without a shuffle.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0, as is everything if no language could be learned; rows with a null
 language are not learned from; repeated rows are labelled each; an empty table gives no rows.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import segment_sums, text_slices, words_of
 
-MAX_DOCS, MAX_WORDS = 500, 120
+MAX_DOCS, MAX_WORDS, MAX_TOTAL = 500, 120, 20_000
 LONGEST = 24
 CACHE_WORDS = 600_000
 EMBED, HIDDEN, STEPS, BATCH = 12, 16, 900, 384
@@ -171,7 +171,8 @@ def training_words(docs: DataFrame, learn: Column, max_docs: int = MAX_DOCS, max
                 out.append([words[c] for c in own])
             yield pa.record_batch([part.column("doc_id"), part.column("lang"), pa.array(out, pa.list_(pa.string()))], ["doc_id", "lang", "words"])
 
-    taken = docs.select("doc_id", "text").join(ids.select("doc_id", "lang"), "doc_id")
+    few = ids.orderBy("_r", "lang").limit(MAX_TOTAL).select("doc_id", "lang")  # the bound lets it be broadcast
+    taken = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
     return taken.mapInArrow(run, "doc_id long, lang string, words array<string>")
 
 
