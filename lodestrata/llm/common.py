@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,6 +17,14 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 
 
+def give_back() -> None:
+    """Returns freed memory of this worker to the system, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
@@ -68,6 +77,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             end = max(end, at + 1)
             yield batch.slice(at, end - at)
             at = end
+        give_back()
 
 
 def words_of(text: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -90,6 +100,29 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
+class HashIndex:
+    """Numbers 64-bit hashes in the order they are added; 16 bytes each."""
+
+    def __init__(self) -> None:
+        self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of the hashes, -1 where unknown."""
+        if not len(self.keys):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where(self.keys[at] == hashes, self.place[at], -1)
+
+    def add(self, hashes: np.ndarray) -> None:
+        """Distinct hashes that are not yet known."""
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.keys, hashes[order])
+        self.keys, self.place = np.insert(self.keys, at, hashes[order]), np.insert(self.place, at, len(self.place) + order)
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions starts[i] .. starts[i] + lengths[i] - 1, one run after the other."""
     total = int(lengths.sum())

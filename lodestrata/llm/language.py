@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import segment_sums, text_slices, words_of
+from .common import HashIndex, segment_sums, text_slices, word_hashes, words_of
 
 MAX_DOCS, MAX_WORDS, MAX_TOTAL = 500, 120, 20_000
 LONGEST = 24
@@ -200,24 +200,24 @@ class Labeller:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
+        self.known = HashIndex()
         self.sums, self.sizes = np.zeros((0, len(self.net.langs)), np.float32), np.zeros(0, np.float32)
 
     def __call__(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Mean label distribution of every text and its number of labelled bytes."""
         starts, codes, words = words_of(letters_only(text))
-        if len(self.place) + len(words) > CACHE_WORDS:
+        if len(self.known) + len(words) > CACHE_WORDS:
             self.clear()
-        fresh = [w for w in words if w and w not in self.place]
+        hashes = word_hashes(words)
+        fresh = [i for i in np.flatnonzero(self.known.find(hashes) < 0).tolist() if words[i]]
         if fresh:
-            cut = [pieces(w) for w in fresh]
+            cut = [pieces(words[i]) for i in fresh]
             many = np.concatenate(([0], np.cumsum([len(c) for c in cut])))
             sums = segment_sums(self.net.label([p for c in cut for p in c]), many)
-            at = len(self.place)
-            self.place.update((w, at + i) for i, w in enumerate(fresh))
+            self.known.add(hashes[fresh])
             self.sums = np.concatenate((self.sums, sums.astype(np.float32)))
             self.sizes = np.concatenate((self.sizes, np.array([sum(map(len, c)) for c in cut], np.float32)))
-        where = np.array([self.place.get(w, 0) for w in words], np.int64)[codes] if len(codes) else np.zeros(0, np.int64)
+        where = self.known.find(hashes)[codes] if len(codes) else np.zeros(0, np.int64)
         if not len(where):
             return np.zeros((len(starts) - 1, len(self.net.langs))), np.zeros(len(starts) - 1)
         size = segment_sums(self.sizes[where], starts)

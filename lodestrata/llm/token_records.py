@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, ragged, text_slices, word_hashes, words_of
+from .common import HashIndex, Scratch, ragged, text_slices, word_hashes, words_of
 
 MASK = 0xA282EAD8  # fixed value
 HEAD = "<BqQQB"
@@ -76,7 +76,7 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.known = HashIndex()
         self.starts, self.ids, self.used = np.zeros(1, np.int64), np.zeros(1 << 16, f"<u{self.width}"), 0
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -113,33 +113,23 @@ class WordEncoder:
         while self.used + len(new) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
         self.ids[self.used : self.used + len(new)] = new
-        place = len(self.starts) - 1 + np.arange(len(words))
         self.starts = np.concatenate((self.starts, self.used + ends))
         self.used += len(new)
-        order = np.argsort(hashes)
-        at = np.searchsorted(self.keys, hashes[order])
-        self.keys, self.place = np.insert(self.keys, at, hashes[order]), np.insert(self.place, at, place[order])
-
-    def _find(self, hashes: np.ndarray) -> np.ndarray:
-        """Places of the hashes, -1 where unknown."""
-        if not len(self.keys):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, self.place[at], -1)
+        self.known.add(hashes)
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row and where each text's begin (one more than texts)."""
         starts, codes, words = words_of(text)
         if not len(codes):
             return self.ids[:0], np.zeros(len(starts), np.int64)
-        if len(self.keys) + len(words) > self.cache_words:
+        if len(self.known) + len(words) > self.cache_words:
             self.clear()
         hashes = word_hashes(words)
-        place = self._find(hashes)
+        place = self.known.find(hashes)
         unseen = [i for i in np.flatnonzero(place < 0).tolist() if words[i]]
         if unseen:
             self._learn([words[i] for i in unseen], hashes[unseen])
-            place = self._find(hashes)
+            place = self.known.find(hashes)
         where = place[codes]
         length = self.starts[where + 1] - self.starts[where]
         ends = np.concatenate(([0], np.cumsum(length)))

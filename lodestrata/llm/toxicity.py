@@ -25,10 +25,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import segment_sums, text_slices, words_of
+from .common import HashIndex, segment_sums, text_slices, word_hashes, words_of
 
 MAX_ROWS = 5000
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_500_000
 NEAR = 6
 # Common insults, second-person words, and characters that stand for letters.
 INSULTS = frozenset("idiot idiots moron morons stupid dumb scum loser losers trash garbage pathetic worthless clown fool jerk imbecile disgusting vermin filth filthy".split())
@@ -58,7 +58,11 @@ class Extractor:
     """Features of texts; what a word is gets looked up once per distinct word."""
 
     def __init__(self, lexicon: dict[str, float]):
-        self.lexicon, self.known = lexicon, {}
+        self.lexicon = lexicon
+        self.clear()
+
+    def clear(self) -> None:
+        self.known, self.bits, self.weights = HashIndex(), np.zeros(0, np.uint8), np.zeros(0, np.float32)
 
     def _word(self, word: str) -> tuple[int, float]:
         bare, bits, weight = plain(word), 0, 0.0
@@ -81,12 +85,17 @@ class Extractor:
     def __call__(self, text: pa.Array) -> np.ndarray:
         text = pc.fill_null(text, "")
         starts, codes, words = words_of(text)
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        known = self.known
-        found = [known.get(w) or known.setdefault(w, self._word(w)) for w in words]
-        bits = np.array([b for b, _ in found], np.int64)[codes] if words else np.zeros(0, np.int64)
-        weight = np.array([x for _, x in found])[codes] if words else np.zeros(0)
+        if len(self.known) + len(words) > CACHE_WORDS:
+            self.clear()
+        hashes = word_hashes(words)
+        fresh = np.flatnonzero(self.known.find(hashes) < 0)
+        if len(fresh):
+            made = [self._word(words[i]) for i in fresh]
+            self.known.add(hashes[fresh])
+            self.bits = np.concatenate((self.bits, np.array([b for b, _ in made], np.uint8)))
+            self.weights = np.concatenate((self.weights, np.array([x for _, x in made], np.float32)))
+        where = self.known.find(hashes)[codes] if len(codes) else np.zeros(0, np.int64)
+        bits, weight = self.bits[where], self.weights[where]
         n = np.diff(starts).astype(float)
         doc = np.repeat(np.arange(len(n)), np.diff(starts))
         has = lambda bit: (bits & bit) > 0
