@@ -7,7 +7,8 @@ Filter: a count c is quantised to q = 1 + floor(log2(c / floor)) levels, and (ke
 filter; a count is read back by probing levels until one is absent. ``floor`` is the least power of two, 2 or more, at which the filter keeps within
 ``max_bytes`` at ``bits_per_key``, so what is broadcast has a bound that does not depend on the corpus.
 
-Model: P(w | v) mixes the pair's share of v's count with the add-one share of w; both counts come from the filter, an unseen context leaves the latter.
+Model: P(w | v) mixes the pair's share of v's count with the add-one share of w, the more of the first the more often v was seen; both counts come from
+the filter.
 
 Exact word counts, for the base score, are not read from the filter: words frequent enough for at most ``top_words`` of them to be so are looked up in
 a sorted table that is broadcast, the rest are joined with the counts by key, per document and distinct word.
@@ -33,7 +34,7 @@ BITS_PER_KEY, PROBES, MAX_BYTES = 10, 6, 32 << 20
 TOP_WORDS = 400_000
 RANGE_BYTES = 16 << 20
 FLUSH_KEYS = 4_000_000
-MIX = 0.7
+MIX, TRUST = 0.4, 4.0
 U = np.uint64
 M1, M2, M3 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 START, END = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
@@ -268,7 +269,8 @@ def log_probabilities(model: LogBloom, before: np.ndarray, tokens: np.ndarray, t
     own, context = single[where[: len(tokens)]], single[where[len(tokens) :]]
     pairs = np.minimum(model.counts(pair_hashes(before, tokens)), context)
     unigram = np.minimum(1.0, (own + 1) / (total + distinct + 1))
-    return np.log10(np.where(context > 0, mix * pairs / np.maximum(context, 1) + (1 - mix) * unigram, unigram))
+    share = mix * context / (context + TRUST)  # an unseen context has none, a rare one little
+    return np.log10(share * pairs / np.maximum(context, 1) + (1 - share) * unigram)
 
 
 # -- scoring ------------------------------------------------------------------------------------------------------------------------------------
