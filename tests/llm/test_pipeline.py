@@ -13,7 +13,7 @@ def test_stages(spark):
         assert out.columns == columns, name
         if name != "mixing":
             assert 0.5 * docs.count() < out.count() <= docs.count(), name
-            assert out.exceptAll(docs).count() == 0
+            assert out.subtract(docs).count() == 0
         docs = scratch.save(out, name)
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf).orderBy("start").collect()
     assert len(last) == docs.count()
