@@ -17,6 +17,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import HashIndex, Scratch, ragged, text_slices, word_hashes, words_of
+from .common import HashIndex, Scratch, give_back, ragged, text_slices, word_hashes, words_of
 
 MASK = 0xA282EAD8  # fixed value
 HEAD = "<BqQQB"
 SHARD_BYTES = 16 << 20
 CACHE_WORDS = 2_000_000
 JOIN_WORDS = 500
+GATHER_WORDS = 50_000
 
 INDEX_SCHEMA = "doc_id long, shard int, offset long, length long, local_start long, n_tokens long, ids_crc32 long"
 
@@ -119,9 +121,15 @@ class WordEncoder:
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row and where each text's begin (one more than texts)."""
+        found = list(self.each(text))
+        return np.concatenate([self.ids[:0], *found]), np.cumsum([0] + [len(ids) for ids in found])
+
+    def each(self, text: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, in turn. They are gathered for GATHER_WORDS words at a time, or one text, which bounds what a slice holds beside its words."""
         starts, codes, words = words_of(text)
         if not len(codes):
-            return self.ids[:0], np.zeros(len(starts), np.int64)
+            yield from (self.ids[:0] for _ in range(len(text)))
+            return
         if len(self.known) + len(words) > self.cache_words:
             self.clear()
         hashes = word_hashes(words)
@@ -130,10 +138,16 @@ class WordEncoder:
         if unseen:
             self._learn([words[i] for i in unseen], hashes[unseen])
             place = self.known.find(hashes)
-        where = place[codes]
-        length = self.starts[where + 1] - self.starts[where]
-        ends = np.concatenate(([0], np.cumsum(length)))
-        return self.ids[ragged(self.starts[where], length)], ends[starts]
+        del words, hashes, unseen
+        at = 0
+        while at < len(text):
+            end = max(at + 1, int(np.searchsorted(starts, starts[at] + GATHER_WORDS, side="right")) - 1)
+            where = place[codes[starts[at] : starts[end]]]
+            length = self.starts[where + 1] - self.starts[where]
+            ends = np.concatenate(([0], np.cumsum(length)))
+            ids, cuts = self.ids[ragged(self.starts[where], length)], ends[starts[at : end + 1] - starts[at]]
+            yield from (ids[a:b] for a, b in pairwise(cuts.tolist()))
+            at = end
 
 
 _ENCODERS: dict[int, WordEncoder] = {}
@@ -160,14 +174,15 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col:
         enc, before = encoder(spec.value), 0
         last = np.array([end_id], f"<u{enc.width}").tobytes()
         for part in text_slices(batches):
-            ids, starts = enc.encode(part.column("text"))
             out = []
-            for i, doc in enumerate(part.column("doc_id").to_pylist()):
-                own = ids[starts[i] : starts[i + 1]].tobytes() + last
+            for doc, ids in zip(part.column("doc_id").to_pylist(), enc.each(part.column("text")), strict=True):
+                own = ids.tobytes() + last
                 n = len(own) // enc.width
                 out.append(frame(struct.pack(HEAD, doc is None, doc or 0, before, n, enc.width) + own))
                 before += n
             yield pa.record_batch([pa.array(out, pa.binary())], ["value"])
+            del out
+            give_back()
 
     framed = dealt.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))  # the cast keeps the bytes
     framed.write.mode("overwrite").option("compression", "none").option("lineSep", "\n").text(f"{path}/records")
