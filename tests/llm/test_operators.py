@@ -301,6 +301,34 @@ def test_passages(spark, odd, none):
     assert {1, 2, 3, 11} <= found and not found & {4, 5, 6, 7, 8, 12, 13, 14}
 
 
+def test_exact_repeats_against_brute_force(spark):
+    """Every word of a 50-word window that a later document repeats is in a reported passage: two sources, short sources, rounds of a line."""
+    rng = random.Random(16)
+    text = lambda n, p: [f"{p}{rng.randrange(10_000)}" for _ in range(n)]
+    two, part, line, word = text(60, "t"), text(60, "p"), text(12, "l") * 12, ["of"] * 70
+    docs = [
+        (1, text(20, "a") + two[:30] + text(20, "a")), (2, text(25, "b") + two[30:] + text(20, "b")), (3, text(15, "c") + two + text(30, "c")), (4, text(35, "d") + two + text(10, "d")),
+        (5, text(20, "e") + part[10:45] + text(20, "e")), (6, part + text(30, "f")), (7, text(30, "g") + part), (10, text(9, "h") + line + text(9, "h")), (11, text(14, "i") + line + text(5, "i")),
+        (12, text(9, "j") + word + two[:10] + text(9, "j")), (13, text(14, "k") + word[:45] + two[:10] + text(5, "k")),
+    ]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    seen = {}
+    for i, w in docs:
+        for p in range(len(w) - 49):
+            seen.setdefault(tuple(w[p : p + 50]), []).append((i, p))
+    want = {i: set() for i, _ in docs}
+    for places in seen.values():
+        first = min(places)[0]
+        for i, p in places:
+            if i != first:
+                want[i] |= set(range(p, p + 50))
+    assert {i for i, x in want.items() if x} == {4, 7, 11, 13}
+    got = {i: set() for i, _ in docs}
+    for r in substring_dedup.passages(df).collect():
+        got[r["doc_id"]] |= set(range(r["start"], r["end"]))
+    assert not {i: sorted(x - got[i]) for i, x in want.items() if x - got[i]}
+
+
 def test_chain_prefers_order():
     found = substring_dedup.anchors(np.array([0, 10, 20, 40]), np.array([100, 110, 120, 5]))
     best = substring_dedup.chains(found)[0]
