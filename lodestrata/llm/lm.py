@@ -3,9 +3,10 @@
 Counting: words and word pairs are 64-bit hashes. Tasks count their own part of the corpus and send sorted keys with counts, cut by key range; a
 reducer merges one range at a time. Keys are spread evenly by the hash, so no word is a hot key, and a frequent one is a single entry per task.
 
-Filter: a count c is quantised to q = 1 + floor(log2(c / floor)) levels, and (key, 1) .. (key, q) are set in the key's own segment of one Bloom
-filter; a count is read back by probing levels until one is absent. ``floor`` is the least power of two, 2 or more, at which the filter keeps within
-``max_bytes`` at ``bits_per_key``, so what is broadcast has a bound that does not depend on the corpus.
+Filter: a count c is quantised to q = 1 + floor(log2(c)) levels, and (key, 1) .. (key, q) are set in the key's own segment of one Bloom
+filter; a count is read back by probing levels until one is absent. Every word and pair of the corpus is in it, at ``bits_per_key`` whatever its size.
+Segments are broadcast in parts of ``max_bytes`` at most, which a scorer reads one after the other, so memory has a bound that does not depend on
+the corpus; the number of parts grows with the distinct words and pairs.
 
 Model: P(w | v) mixes the pair's share of v's count with the add-one share of w, the more of the first the more often v was seen; both counts come from
 the filter.
@@ -93,12 +94,13 @@ def _counts(b) -> np.ndarray:
 
 @dataclass
 class LogBloom:
-    """Segments by the key's top bits, each a Bloom filter of ``bits`` bits."""
+    """Segments by the key's top bits, each a Bloom filter of ``bits`` bits; ``data`` holds those from ``first`` on."""
 
     segments: int
     bits: int
     floor: int
     data: np.ndarray
+    first: int = 0
 
     def __post_init__(self) -> None:
         self.shift = U(64 - max(1, self.segments.bit_length() - 1))
@@ -122,9 +124,10 @@ class LogBloom:
         return out
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Estimated counts: 0 if the first level is absent, else the middle of the quantised range."""
-        out, alive, level = np.zeros(len(keys)), np.arange(len(keys)), 1
-        base = self.segment(keys) * (self.bits // 8)
+        """Estimated counts: 0 if the first level or the key's segment is absent, else the middle of the quantised range."""
+        out, level = np.zeros(len(keys)), 1
+        base = (self.segment(keys) - self.first) * (self.bits // 8)
+        alive = np.flatnonzero((base >= 0) & (base < len(self.data)))
         while len(alive) and level < 64:
             own, at_base = keys[alive], base[alive]
             ok = np.ones(len(alive), bool)
@@ -136,6 +139,21 @@ class LogBloom:
         return out
 
 
+class Parts:
+    """A filter in broadcast parts. One part stays in memory; of several, only the one that is being read."""
+
+    def __init__(self, parts: list):
+        self.parts = parts
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(keys))
+        for part in self.parts:
+            out += part.value.counts(keys)  # 0 but in the part that has the key
+            if len(self.parts) > 1:
+                part.__dict__.pop("_value", None)  # read anew from its file when it is needed
+        return out
+
+
 def levels(counts: np.ndarray, floor: int) -> np.ndarray:
     return np.where(counts >= floor, 1 + np.floor(np.log2(np.maximum(counts, 1) / floor)), 0).astype(np.int64)
 
@@ -221,8 +239,6 @@ def gather(docs: DataFrame, learn: Column, scratch: Scratch) -> Statistics:
                 totals = [int(counts.sum()), len(keys)]
             size_class = np.floor(np.log2(np.maximum(counts, 1))).astype(np.int64)
             hists.append(np.bincount(size_class, minlength=64).tolist())
-            if kind == 1:
-                keys, counts = keys[counts > 1], counts[counts > 1]  # the filter's floor is 2 or more
             row += [keys.tobytes(), counts.astype(np.int64).tobytes()]
         row += [*totals, *hists]
         return pa.record_batch([pa.array([x], t) for x, t in zip(row, [pa.int32(), *[pa.binary()] * 4, pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 2], strict=True)], [c.split()[0] for c in TABLE.split(", ")])
@@ -233,20 +249,16 @@ def gather(docs: DataFrame, learn: Column, scratch: Scratch) -> Statistics:
     rows = table.select("tokens", "words", "w_hist", "p_hist").collect()  # one row per range: totals and histograms
     n_docs = size["n"]
     hist = lambda c: np.sum([r[c] for r in rows], axis=0) if rows else np.zeros(64, np.int64)
-    share = max((sum(r["w_hist"][1:]) + sum(r["p_hist"][1:]) for r in rows), default=0) / max(1, sum(sum(r["w_hist"][1:]) + sum(r["p_hist"][1:]) for r in rows))
+    entries = [sum(n * (i + 1) for h in ("w_hist", "p_hist") for i, n in enumerate(r[h])) for r in rows]  # a key has an entry for each level
+    share = max(entries, default=0) / max(1, sum(entries))
     return Statistics(sum(r["tokens"] for r in rows) + n_docs, sum(r["words"] for r in rows) + (n_docs > 0), n_docs, 1 << bits, table, hist("w_hist"), hist("p_hist"), share)
 
 
-def build_filter(stats: Statistics, max_bytes: int = MAX_BYTES, bits_per_key: int = BITS_PER_KEY) -> LogBloom:
-    """Segments are filled where their keys are and put together on the driver, ``max_bytes`` at most."""
-    sizes = stats.words_by_size + stats.pairs_by_size
-    share = max(stats.largest_share, 1 / stats.ranges)
-    for j in range(1, 63):
-        keys = int(sum(n * (i - j + 1) for i, n in enumerate(sizes) if i >= j))
-        bits = max(64, -(-int(keys * share * bits_per_key) // 64) * 64)
-        if bits // 8 * stats.ranges <= max(max_bytes, 8 * stats.ranges):
-            break
-    shape = LogBloom(stats.ranges, bits, 1 << j, np.zeros(0, np.uint8))
+def build_filter(stats: Statistics, max_bytes: int = MAX_BYTES, bits_per_key: int = BITS_PER_KEY) -> Iterator[LogBloom]:
+    """Segments are filled where their keys are and put together on the driver, part by part of ``max_bytes`` or one segment."""
+    entries = int(sum(n * (i + 1) for i, n in enumerate(stats.words_by_size + stats.pairs_by_size)))
+    bits = max(64, -(-int(entries * max(stats.largest_share, 1 / stats.ranges) * bits_per_key) // 64) * 64)
+    shape = LogBloom(stats.ranges, bits, 1, np.zeros(0, np.uint8))
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,19 +267,22 @@ def build_filter(stats: Statistics, max_bytes: int = MAX_BYTES, bits_per_key: in
                 out = shape.fill(np.concatenate((_u64(wk), _u64(pk))), np.concatenate((_counts(wc), _counts(pc_))))
                 yield pa.record_batch([pa.array([batch.column("range")[i].as_py()], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["range", "bytes"])
 
-    data = np.zeros(bits // 8 * stats.ranges, np.uint8)
-    for r in stats.table.select("range", "wk", "wc", "pk", "pc").mapInArrow(fill, "range int, bytes binary").collect():
-        data[r["range"] * (bits // 8) : (r["range"] + 1) * (bits // 8)] = np.frombuffer(r["bytes"], np.uint8)
-    return LogBloom(stats.ranges, bits, 1 << j, data)
+    size, step = bits // 8, max(1, max_bytes // (bits // 8))
+    for first in range(0, stats.ranges, step):
+        data = np.zeros(size * min(step, stats.ranges - first), np.uint8)
+        own = stats.table.filter((F.col("range") >= first) & (F.col("range") < first + step)).select("range", "wk", "wc", "pk", "pc")
+        for r in own.mapInArrow(fill, "range int, bytes binary").collect():
+            data[(r["range"] - first) * size : (r["range"] - first + 1) * size] = np.frombuffer(r["bytes"], np.uint8)
+        yield LogBloom(stats.ranges, bits, 1, data, first)
 
 
-def log_probabilities(model: LogBloom, before: np.ndarray, tokens: np.ndarray, total: int, distinct: int, documents: int, mix: float = MIX) -> np.ndarray:
+def log_probabilities(model: LogBloom | Parts, before: np.ndarray, tokens: np.ndarray, total: int, distinct: int, documents: int, mix: float = MIX) -> np.ndarray:
     """log10 P of every token after the one before it. Start and end marks have the number of training documents as their count."""
-    known = lambda keys: np.where((keys == START) | (keys == END), documents, model.counts(keys))
     both, where = np.unique(np.concatenate((tokens, before)), return_inverse=True)
-    single = known(both)
+    found = model.counts(np.concatenate((both, pair_hashes(before, tokens))))
+    single = np.where((both == START) | (both == END), documents, found[: len(both)])
     own, context = single[where[: len(tokens)]], single[where[len(tokens) :]]
-    pairs = np.minimum(model.counts(pair_hashes(before, tokens)), context)
+    pairs = np.minimum(found[len(both) :], context)
     unigram = np.minimum(1.0, (own + 1) / (total + distinct + 1))
     share = mix * context / (context + TRUST)  # an unseen context has none, a rare one little
     return np.log10(share * pairs / np.maximum(context, 1) + (1 - share) * unigram)
@@ -295,12 +310,16 @@ def score(docs: DataFrame, learn: Column, held_out: Column, max_bytes: int = MAX
     keys = np.concatenate([np.zeros(0, U), *[_u64(r["k"]) for r in top]])
     counts = np.concatenate([np.zeros(0, np.int64), *[_counts(r["c"]) for r in top]])
     order = np.argsort(keys)
-    shared = spark.sparkContext.broadcast((build_filter(stats, max_bytes), keys[order], counts[order]))
+    parts = []
+    for part in build_filter(stats, max_bytes):
+        parts.append(spark.sparkContext.broadcast(part))
+        parts[-1].__dict__.pop("_value", None)  # the driver holds one part at a time
+    shared = spark.sparkContext.broadcast((keys[order], counts[order]))
     n, v, n_docs = stats.tokens, stats.distinct, stats.documents
     schema = "rid long, doc_id long, held_out boolean, n_tokens long, known long, part double, score double, keys array<long>, times array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, top_keys, top_counts = shared.value
+        model, (top_keys, top_counts) = Parts(parts), shared.value
         for part in text_slices(batches):
             starts, hashes = tokens_of(part.column("text"))
             ends, tokens, before = with_ends(starts, hashes)

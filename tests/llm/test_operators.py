@@ -170,6 +170,20 @@ def test_log_bloom_never_loses_a_key():
     assert (full.counts(keys) >= counts * 0.5).all()
 
 
+def test_lm_keeps_rare_words_at_any_filter_size(spark, monkeypatch):
+    monkeypatch.setattr(lm, "RANGE_BYTES", 16 << 10)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    stats = lm.gather(docs, F.lit(True), Scratch(spark, "rare"))
+    assert stats.ranges > 8
+    size = sum(len(m.data) for m in lm.build_filter(stats))
+    parts = list(lm.build_filter(stats, max_bytes=size // 3))
+    assert len(parts) > 2 and all(len(m.data) <= size // 3 for m in parts)
+    keys, counts = (np.concatenate([np.frombuffer(r[i], t) for r in stats.table.select("wk", "pk", "wc", "pc").collect() for i in ii]) for ii, t in (((0, 1), np.uint64), ((2, 3), np.int64)))
+    assert (counts == 1).any() and (sum(m.counts(keys) for m in parts) >= counts * 0.5).all()
+    one, many = ({r["doc_id"]: r["score"] for r in lm.score(docs, F.col("doc_id") % 3 > 0, F.col("doc_id") % 3 == 0, max_bytes=n).collect()} for n in (lm.MAX_BYTES, size // 3))
+    assert one == many
+
+
 def test_decontaminate(spark, odd, none):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").limit(3)
     items = {r["item_id"]: r["text"] for r in bench.collect()}
