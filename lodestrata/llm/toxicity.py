@@ -4,8 +4,9 @@ Features are rates over a whole text: hits of an abuse lexicon (plain and obfusc
 symbols inside words. The lexicon is a short fixed list together with words that mark toxic rows among the labelled ones. Trees are fitted in
 numpy on histograms; calibration is the isotonic fit of out-of-fold margins to the labels.
 
-Fitting takes a bounded sample of labelled rows, ``max_rows`` a class in the order of a hash of the id; it is the only bounded step. Scoring reads every
-text whole, in slices, without a shuffle.
+Fitting takes a bounded sample of labelled rows, ``max_rows`` a class in the order of a hash of the id; it is the only bounded step. Rows are weighted
+by what their class has among all training labels for each one sampled, in the lexicon's rates, the trees and the calibration, so scores are
+probabilities at the true class ratio whatever the size. Scoring reads every text whole, in slices, without a shuffle.
 
 Defined cases: null and empty texts have all rates 0 and are scored like that; null or other labels are not learned from, and of an id labelled twice
 the higher label counts; with labels of one class only the score is that class, with none 0; repeated rows are scored each; an empty table
@@ -151,9 +152,10 @@ class Trees:
         return out
 
 
-def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 48, ridge: float = 2.0, least: float = 1.0) -> Trees:
-    """Logistic loss, second-order gains, histograms over quantile bins."""
-    p0 = min(max(y.mean(), 1e-3), 1 - 1e-3)
+def fit_trees(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, rounds: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 48, ridge: float = 2.0, least: float = 1.0) -> Trees:
+    """Logistic loss, second-order gains, histograms over quantile bins. A row counts ``weight`` times in the loss."""
+    weight = np.ones(len(y)) if weight is None else weight
+    p0 = min(max(np.average(y, weights=weight), 1e-3), 1 - 1e-3)
     trees = Trees(math.log(p0 / (1 - p0)), depth)
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
     binned = np.column_stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)])
@@ -161,7 +163,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 3, ra
     inner = (1 << depth) - 1
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-margin))
-        g, h = p - y, np.maximum(p * (1 - p), 1e-6)
+        g, h = (p - y) * weight, np.maximum(p * (1 - p), 1e-6) * weight
         feature, cut, node = np.zeros(inner, np.int64), np.full(inner, np.inf), np.zeros(len(y), np.int64)
         at_cut = np.full(inner, bins + 1)
         for level in range(depth):
@@ -194,12 +196,13 @@ def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 3, ra
     return trees
 
 
-def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(score: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pool-adjacent-violators: knots and rising values; between knots the curve is straight."""
+    weight = np.ones(len(y)) if weight is None else weight
     order = np.argsort(score, kind="stable")
-    blocks: list[list[float]] = []  # sum of labels, rows, sum of scores
-    for s, t in zip(score[order], y[order], strict=True):
-        blocks.append([float(t), 1.0, float(s)])
+    blocks: list[list[float]] = []  # sums of labels, weights and scores
+    for s, t, w in zip(score[order], y[order], weight[order], strict=True):
+        blocks.append([float(t * w), float(w), float(s * w)])
         while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
             last = blocks.pop()
             blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
@@ -220,31 +223,44 @@ class Model:
         return np.clip(np.interp(self.trees.margin(x), self.knots, self.values), 0, 1)
 
 
-def fit_model(lexicon: dict[str, float], x: np.ndarray, y: np.ndarray, folds: int = 4) -> Model:
+def fit_model(lexicon: dict[str, float], x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, folds: int = 4) -> Model:
+    weight = np.ones(len(y)) if weight is None else weight
     if len(set(y.tolist())) < 2:
         return Model(lexicon, None, np.zeros(1), np.zeros(1), float(y[0]) if len(y) else 0.0)
     out = np.zeros(len(y))
     fold = np.empty(len(y), int)
     fold[np.argsort(y, kind="stable")] = np.arange(len(y)) % folds
     for f in range(folds):
-        out[fold == f] = fit_trees(x[fold != f], y[fold != f]).margin(x[fold == f])
-    return Model(lexicon, fit_trees(x, y), *isotonic(out, y))
+        out[fold == f] = fit_trees(x[fold != f], y[fold != f], weight[fold != f]).margin(x[fold == f])
+    return Model(lexicon, fit_trees(x, y, weight), *isotonic(out, y, weight))
 
 
 # -- Spark ------------------------------------------------------------------------------------------------------------------------------------
 
 
+def marked_rows(labels: DataFrame, learn: Column) -> DataFrame:
+    """doc_id, toxic: one row per labelled id, toxic if any of its labels is. ``learn`` is a condition on labels' doc_id."""
+    return labels.filter(learn & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX_ROWS) -> DataFrame:
     """doc_id, text, toxic: at most ``max_rows`` of each class, by a hash of the id. ``learn`` is a condition on labels' doc_id."""
-    marked = labels.filter(learn & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    marked = marked_rows(labels, learn)
     part = lambda t: marked.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     taken = part(0).unionByName(part(1))  # at most 2 * max_rows ids, so it may be broadcast
     return docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id")
 
 
-def learn_lexicon(rows: DataFrame, most: int = 400, least_z: float = 5.0, least_share: float = 0.02) -> dict[str, float]:
+def class_weights(labels: DataFrame, learn: Column, max_rows: int) -> dict[int, float]:
+    """How much a sampled row of each class counts, for the classes to weigh as they do among all training labels; the mean weight is 1."""
+    total = {r["toxic"]: r["n"] for r in marked_rows(labels, learn).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    taken = {t: min(n, max_rows) for t, n in total.items()}
+    return {t: n / taken[t] * sum(taken.values()) / sum(total.values()) for t, n in total.items()}
+
+
+def learn_lexicon(rows: DataFrame, weights: dict[int, float], most: int = 400, least_z: float = 5.0, least_share: float = 0.02) -> dict[str, float]:
     """Words that are in far more toxic rows than chance would put there, with a weight between 0 and 1. A word must be in ``least_share`` of
-    the toxic rows, so that a few copies of one mislabelled text add none."""
+    the toxic rows, so that a few copies of one mislabelled text add none. Chance is that of the sample; rates are weighted by class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
@@ -267,14 +283,16 @@ def learn_lexicon(rows: DataFrame, most: int = 400, least_z: float = 5.0, least_
     share = bad / n
     counts = rows.mapInArrow(run, "word string, bad long, n long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     z = (F.col("bad") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)))
-    rate = F.col("bad") / F.col("n")
-    top = counts.filter((F.length("word") > 1) & (F.col("bad") >= max(4, math.ceil(least_share * bad)))).select("word", z.alias("z"), rate.alias("rate")).filter((F.col("z") >= least_z) & (F.col("rate") >= min(0.95, 1.5 * share))).orderBy(F.desc("z"), "word").limit(most)
+    toxic, other = F.col("bad") * weights[1], (F.col("n") - F.col("bad")) * weights[0]
+    rate, true_share = toxic / (toxic + other), bad * weights[1] / (bad * weights[1] + (n - bad) * weights[0])
+    top = counts.filter((F.length("word") > 1) & (F.col("bad") >= max(4, math.ceil(least_share * bad)))).select("word", z.alias("z"), rate.alias("rate")).filter((F.col("z") >= least_z) & (F.col("rate") >= min(0.95, 1.5 * true_share))).orderBy(F.desc("z"), "word").limit(most)
     return {r["word"]: float(r["rate"]) for r in top.collect()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX_ROWS) -> Model:
     rows = training_rows(docs, labels, learn, max_rows)
-    lexicon = learn_lexicon(rows)
+    weights = class_weights(labels, learn, max_rows)
+    lexicon = learn_lexicon(rows, weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         extract = Extractor(lexicon)
@@ -284,7 +302,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX_R
 
     names = [f"f{i}" for i in range(len(FEATURES))]
     found = rows.mapInArrow(run, "doc_id long, toxic int, " + ", ".join(f"{c} double" for c in names)).orderBy("doc_id", *names).toPandas()  # bounded: 2 * max_rows
-    return fit_model(lexicon, found[names].to_numpy(float), found["toxic"].to_numpy(float))
+    weight = found["toxic"].map(weights)
+    return fit_model(lexicon, found[names].to_numpy(float), found["toxic"].to_numpy(float), weight.to_numpy(float))
 
 
 _EXTRACTORS: dict[int, Extractor] = {}

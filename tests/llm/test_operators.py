@@ -365,6 +365,17 @@ def test_toxicity_cases(odd, none, spark):
     assert toxicity.score(none, model).count() == 0
 
 
+def test_toxicity_keeps_the_class_ratio_of_all_labels(spark):
+    rng = random.Random(21)
+    rows = [(i, " ".join(rng.choice("one two three four five six".split()) for _ in range(20)) + (" idiot" if i % 2 else ""), int(rng.random() < (0.25 if i % 2 else 0.02))) for i in range(1600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    true = sum(t for i, _, t in rows if i % 2) / 800
+    for most in (5000, 150):  # no class is capped; both are
+        model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), F.lit(True), max_rows=most)
+        got = toxicity.score(df.filter("doc_id % 2 = 1").select("doc_id", "text"), model).agg(F.avg("toxicity"), F.max("toxicity")).first()
+        assert abs(got[0] - true) < 0.06 and got[1] < 0.5
+
+
 def test_obfuscation_and_isotonic():
     x = toxicity.Extractor({})(pa.array(["you id1ot", "You are an i.d.i.o.t", "a fine day", None, "STUUUUPID"]))
     assert (x[[0, 1], toxicity.FEATURES.index("obfuscated")] > 0).all() and x[0, toxicity.FEATURES.index("near_second")] > 0
