@@ -54,7 +54,8 @@ def fit(lengths: list[int], counts: list[int], budget: int, dp_words: int = DP_W
     """How many documents of each length to take so that their words come nearest to ``budget``.
 
     The same share of every length is taken first, then the longest that fit, until what is left is small against ``dp_words`` or
-    nothing fits; a bounded knapsack over reachable sums settles the rest, going just past the budget where that comes nearer.
+    nothing fits; a bounded knapsack over reachable sums settles the rest, going just past the budget where that comes nearer, be it by
+    one document longer than the knapsack is wide.
     """
     total = sum(x * n for x, n in zip(lengths, counts, strict=True))
     if budget >= total:
@@ -92,6 +93,11 @@ def fit(lengths: list[int], counts: list[int], budget: int, dp_words: int = DP_W
     if above and left >= 0:
         first = max(0, left) + 1 + (above & -above).bit_length() - 1
         at = first if first - left < left - below else below
+    # a document longer than the bit sets goes past the budget by itself, the shortest by least
+    long, which = min(((lengths[i], i) for i in order if lengths[i] > width and counts[i] > taken[i]), default=(0, -1))
+    if long and abs(long - left) < abs(at - left):
+        taken[which] += 1
+        return taken
     for k in range(len(items), 0, -1):
         i, step = items[k - 1]
         if not reach[k - 1] >> at & 1:

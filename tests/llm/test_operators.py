@@ -245,6 +245,12 @@ def test_targets_and_knapsack():
         assert abs(sum(x * t for x, t in zip(lengths, took, strict=True)) - budget) == min(abs(s - budget) for s in sums)
 
 
+def test_knapsack_goes_past_the_budget_by_one_long_document():
+    lengths = [600_001, 600_010, 600_100]
+    took = mixing.fit(lengths, [1, 1, 1], 1_000_000)
+    assert sum(took) == 2 and abs(sum(x * t for x, t in zip(lengths, took, strict=True)) - 1_000_000) < 201_000
+
+
 def brute_components(rows, k, percent):
     sets = {}
     for i, text in rows:
