@@ -10,7 +10,8 @@ class of another component, and after another round of components the full sets
 components that the estimate lets through are verified in place and only links come out. So every candidate pair of the bands is either
 verified or already connected. Groups too large for a task are cut into blocks that meet in pairs.
 
-Documents that share a band but fail the estimate are apart by more than ``MARGIN`` standard deviations. Bands are missed by a pair of similarity 0.8
+Documents that share a band but fail the estimate are apart by more than ``MARGIN`` standard deviations, which happens to a pair of similarity 0.8
+with probability 3 in 100 million. Bands are missed by a pair of similarity 0.8
 with probability (1 - 0.8^4)^32, or 5 in 100 million.
 
 Defined cases: null texts and texts without words have no shingles and are linked with nothing; with fewer words than a shingle has, all words are
@@ -33,7 +34,7 @@ from .lm import U, mix64
 
 REGISTERS, ROWS = 128, 4
 MANTISSA = 10
-MARGIN = 4.0
+MARGIN = 6.0
 BLOCK = 4096
 FILTER_BITS = 1 << 26
 RNG = np.random.default_rng(20_240_229)

@@ -299,6 +299,12 @@ def test_hyperminhash_estimate():
     assert abs(est - 0.8) < 0.15 and near_dedup.collision_rate(900, 900) < 0.01
 
 
+def test_estimate_loses_no_more_than_the_bands():
+    least, n = near_dedup.least_estimate(0.8), near_dedup.REGISTERS
+    lost = sum(math.comb(n, a) * 0.8**a * 0.2 ** (n - a) for a in range(n + 1) if a / n < least)
+    assert lost < (1 - 0.8**near_dedup.ROWS) ** (n // near_dedup.ROWS)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 90), (95, 100), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in connected(edges, Scratch(spark, "test")).collect()}
