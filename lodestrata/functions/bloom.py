@@ -52,8 +52,15 @@ def estimated_cardinality(bits: DataFrame, m: int, k: int) -> DataFrame:
     return bits.agg(F.when(F.count("*") >= m, F.lit(None)).otherwise(F.round(-m / k * F.log(1 - set_ / m))).cast("bigint").alias("estimate"))
 
 
+def expected_elements(filters: DataFrame, by: str, m: int, k: int) -> DataFrame:
+    """How many elements a filter over the union of several, rows (by, bit), must expect: the sum of their estimates, which counts what they share more than once."""
+    each = filters.groupBy(by).agg(F.count("*").cast("double").alias("set"))
+    estimate = F.when(F.col("set") >= m, F.lit(None)).otherwise(F.round(-m / k * F.log(1 - F.col("set") / m))).cast("bigint")
+    return each.agg(F.sum(estimate).alias("expected"))
+
+
 class BloomState:
-    """A filter as bytes, for the registry: m, bits, then the seeds with their lengths; little-endian."""
+    """A filter as bytes, for the registry: size, hash functions, first seed, then the bits; little-endian."""
 
     def __init__(self, m: int, k: int, seed: int = SEED_BASE, bits: bytearray | None = None):
         self.m, self.k, self.seed = m, k, seed
@@ -66,14 +73,11 @@ class BloomState:
     def has_bits(self, positions) -> bool:
         return all(self.bits[p >> 3] >> (p & 7) & 1 for p in positions)
 
+    HEAD = struct.Struct("<QII")
+
     def to_bytes(self) -> bytes:
-        seeds = b"".join(struct.pack("<I", 4) + struct.pack(">I", self.seed + i) for i in range(self.k))
-        return struct.pack("<Q", self.m) + bytes(self.bits) + struct.pack("<Q", self.k) + seeds
+        return self.HEAD.pack(self.m, self.k, self.seed) + bytes(self.bits)
 
     @classmethod
     def from_bytes(cls, data: bytes) -> BloomState:
-        (m,) = struct.unpack_from("<Q", data)
-        n = -(-m // 8)
-        (k,) = struct.unpack_from("<Q", data, 8 + n)
-        (seed,) = struct.unpack_from(">I", data, 8 + n + 8 + 4)
-        return cls(m, k, seed, bytearray(data[8 : 8 + n]))
+        return cls(*cls.HEAD.unpack_from(data), bytearray(data[cls.HEAD.size :]))

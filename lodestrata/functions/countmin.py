@@ -58,12 +58,12 @@ class CountMinState:
     def query(self, cells) -> int:
         return min(self.cells[row * self.m + bucket] for row, bucket in cells)
 
+    HEAD = struct.Struct("<QII")
+
     def to_bytes(self) -> bytes:
-        seeds = b"".join(struct.pack(">I", self.seed + i) for i in range(self.k))
-        return struct.pack("<QQ", self.m, self.k) + seeds + struct.pack(f"<{self.m * self.k}I", *self.cells)
+        return self.HEAD.pack(self.m, self.k, self.seed) + struct.pack(f"<{self.m * self.k}I", *self.cells)
 
     @classmethod
     def from_bytes(cls, data: bytes) -> CountMinState:
-        m, k = struct.unpack_from("<QQ", data)
-        (seed,) = struct.unpack_from(">I", data, 16)
-        return cls(m, k, seed, list(struct.unpack_from(f"<{m * k}I", data, 16 + 4 * k)))
+        m, k, seed = cls.HEAD.unpack_from(data)
+        return cls(m, k, seed, list(struct.unpack_from(f"<{m * k}I", data, cls.HEAD.size)))

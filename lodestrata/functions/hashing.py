@@ -20,29 +20,37 @@ def seed_bytes(seed: int) -> Column:
 
 
 def seeded_md5_64(x: Column, seed: int) -> Column:
-    """Unsigned 64-bit hash as decimal(20,0): the first 8 bytes, big-endian, of md5(bytes of x, then the seed's 4)."""
+    """64-bit hash as bigint (its bits; read as unsigned): the first 8 bytes, big-endian, of md5(bytes of x, then the seed's 4)."""
     digest = F.md5(F.concat(F.encode(x.cast("string"), "utf-8"), seed_bytes(seed)))
-    return F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)")
+    return F.conv(F.substring(digest, 1, 16), 16, -10).cast("bigint")
+
+
+def unsigned_mod(h: Column, m: int) -> Column:
+    """The remainder of a bigint read as unsigned, from its halves; m is below 2^31."""
+    if not 0 < m < 1 << 31:
+        raise ValueError("m runs from 1 to 2^31 - 1")
+    high = F.shiftrightunsigned(h, 32) % m * ((1 << 32) % m)
+    return (high + h.bitwiseAND(F.lit(0xFFFFFFFF)) % m) % m
 
 
 def bucket_of(x: Column, seed: int, m: int) -> Column:
-    return (seeded_md5_64(x, seed) % F.lit(m).cast("decimal(20,0)")).cast("bigint")
+    return unsigned_mod(seeded_md5_64(x, seed), m)
 
 
 def fnv1a64(x: Column) -> Column:
-    """FNV-1a over the UTF-8 bytes, as bigint. The product is built from 32-bit halves, so that nothing overflows."""
-    hexed = F.hex(F.encode(x.cast("string"), "utf-8"))
+    """FNV-1a over the UTF-8 bytes, as bigint. The product is built from 32-bit halves, so that nothing overflows; a byte of binary data is found by its place, so
+    the work is linear in the text."""
+    raw = F.encode(x.cast("string"), "utf-8")
     mask = F.lit(0xFFFFFFFF)
 
     def step(acc: Column, i: Column) -> Column:
-        byte = F.conv(F.substring(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("bigint")
-        v = acc.bitwiseXOR(byte)
+        v = acc.bitwiseXOR(F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("bigint"))
         low = v.bitwiseAND(mask) * FNV_LOW
         high = F.shiftrightunsigned(v, 32) * FNV_LOW + F.shiftrightunsigned(low, 32) + F.shiftleft(v.bitwiseAND(F.lit(0xFFFFFF)), 8)
         return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(mask))
 
-    n = F.length(hexed) / 2
-    index = F.when(n > 0, F.sequence(F.lit(0), n.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    n = F.octet_length(raw)
+    index = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     return F.aggregate(index, F.lit(signed(FNV_OFFSET)).cast("bigint"), step)
 
 

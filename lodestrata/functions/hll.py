@@ -25,14 +25,6 @@ def registers(items: DataFrame, column: str, p: int) -> DataFrame:
     return h.groupBy(leading_bits(F.col("h"), p).alias("bucket")).agg(F.max(trailing_zeros(F.col("h"))).alias("rank"))
 
 
-def batch_register(items: DataFrame, column: str, order: str, p: int) -> DataFrame:
-    """The compatible form: a whole batch is joined in order and hashed once. Use for tiny batches only."""
-    check_precision(p)
-    joined = items.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, column))), lambda s: s[column].cast("string")), "").alias("x"))
-    h = joined.select(fnv1a64(F.col("x")).alias("h"))
-    return h.select(leading_bits(F.col("h"), p).alias("bucket"), trailing_zeros(F.col("h")).alias("rank"))
-
-
 def merge(*sketches: DataFrame) -> DataFrame:
     out = sketches[0]
     for s in sketches[1:]:
