@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .latest import latest_per_key
@@ -23,11 +24,21 @@ def run_bounds(runs: DataFrame, by: str = "generation") -> DataFrame:
     )
 
 
-def overlapping(bounds: DataFrame, low: str, high: str) -> DataFrame:
-    """Runs that may hold a key in [low, high]."""
-    return bounds.filter((F.col("min_key") <= high) & (F.col("max_key") >= low))
+def overlapping(bounds: list[dict], low: str, high: str) -> list[dict]:
+    """Of runs with bounds ``low`` and ``high`` those that may hold a key in [low, high]."""
+    return [r for r in bounds if r["low"] <= high and r["high"] >= low]
+
+
+def leveled_inputs(runs: list[dict], level: int, next_level: int) -> list[dict]:
+    """The runs of a level with those of the next one that their keys reach into; only these must be merged for the next level's runs to stay apart."""
+    own = [r for r in runs if r["level"] == level]
+    if not own or next_level == level:
+        return own
+    low, high = min(r["low"] for r in own), max(r["high"] for r in own)
+    return own + overlapping([r for r in runs if r["level"] == next_level], low, high)
 
 
 def read_order(runs: DataFrame) -> DataFrame:
-    """Levels from the top, and within a level the newest run first."""
-    return runs.orderBy(F.col("level").asc(), F.col("generation").desc())
+    """Levels from the top, and within a level the newest run first, with ``place`` from 1: the order in which a point read would visit runs."""
+    place = F.row_number().over(W.orderBy(F.col("level").asc(), F.col("generation").desc()))  # one row per run
+    return runs.withColumn("place", place)

@@ -27,7 +27,9 @@ RESERVED_KEYS = ("token_bucket_state",)
 
 @dataclass(frozen=True)
 class EngineOptions:
-    """Settings that change results or layout; a store keeps the ones it was made with."""
+    """Settings of a store. ``run_rows`` single writes are gathered before they become a run; ``merge_threshold`` runs of a level are merged; ``cache_size``
+    point reads are kept; the bucket's two limit the rate of a limited store; ``bloom_fp`` is the error of the runs' key filters;
+    ``compaction`` is ``size`` or ``leveled``; with ``trees`` every run gets its Merkle tree when it is written."""
 
     run_rows: int = 10
     merge_threshold: int = 3
@@ -36,12 +38,18 @@ class EngineOptions:
     bucket_capacity: int = 10
     bucket_reset_ms: int = 1000
     bloom_fp: float = 0.01
+    compaction: str = "size"
+    trees: bool = False
+    block_size: int = 4096
+    segment_blocks: int = 16
 
     def __post_init__(self) -> None:
-        if min(self.run_rows, self.merge_threshold, self.max_levels, self.cache_size, self.bucket_capacity, self.bucket_reset_ms) < 1:
+        if min(self.run_rows, self.merge_threshold, self.max_levels, self.cache_size, self.bucket_capacity, self.bucket_reset_ms, self.segment_blocks) < 1:
             raise ValueError("sizes must be positive")
         if not 0 < self.bloom_fp < 1:
             raise ValueError("bloom_fp must lie between 0 and 1")
+        if self.compaction not in ("size", "leveled"):
+            raise ValueError("compaction is size or leveled")
 
     @classmethod
     def load(cls, path: str | Path) -> EngineOptions:

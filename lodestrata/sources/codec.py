@@ -7,6 +7,7 @@ fits no single block is cut over a first, any number of middle, and a last block
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -109,19 +110,78 @@ def read_uvarint(data: bytes, at: int = 0) -> tuple[int, int]:
             return n, at
 
 
-def read_log(spark: SparkSession, path: str, size: int = 4096) -> DataFrame:
-    """Log segment files as a change log. A segment is one row of the reader, so segments are the unit of work; ``seq`` orders by
-    the number in the segment's name, then by place."""
+def zigzag(n: int) -> bytes:
+    """A signed 64-bit number, small ones of either sign in few bytes."""
+    return uvarint((n << 1 ^ n >> 63) & (1 << 64) - 1)
+
+
+def read_zigzag(data: bytes, at: int = 0) -> tuple[int, int]:
+    n, at = read_uvarint(data, at)
+    return n >> 1 ^ -(n & 1), at
+
+
+def encode_header(e: Entry) -> bytes:
+    """The variable-length header of an entry, for compact files: time (zig-zag), tombstone, key length, and the value's length unless it is deleted."""
+    return zigzag(e.ts) + bytes([e.tombstone]) + uvarint(len(e.key)) + (b"" if e.tombstone else uvarint(len(e.value)))
+
+
+def decode_header(data: bytes, at: int = 0) -> tuple[int, bool, int, int, int]:
+    """Time, tombstone, key length, value length, and the place after the header."""
+    ts, at = read_zigzag(data, at)
+    dead = bool(data[at])
+    n, at = read_uvarint(data, at + 1)
+    m, at = (0, at) if dead else read_uvarint(data, at)
+    return ts, dead, n, m, at
+
+
+def pack_log(log: DataFrame, size: int = 4096) -> DataFrame:
+    """A change log as segments of blocks, (segment, content), one per partition, entries in order of time."""
+
+    def run(batches):
+        import pandas as pd
+        from pyspark import TaskContext
+
+        entries = (Entry(k.encode(), (v or "").encode(), t, d) for pdf in batches for k, v, t, d in zip(pdf["key"], pdf["value"], pdf["ts"], pdf["tombstone"], strict=True))
+        content = b"".join(pack(entries, size))
+        if content:
+            yield pd.DataFrame({"segment": [TaskContext.get().partitionId()], "content": [content]})
+
+    n = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return log.select("key", "value", "ts", "seq", "tombstone").repartitionByRange(n, "ts", "seq").sortWithinPartitions("ts", "seq").mapInPandas(run, "segment long, content binary")
+
+
+def unpack_log(segments: DataFrame, size: int = 4096) -> DataFrame:
+    """The change log in segments of blocks, every checksum verified; ``seq`` orders by segment, then by place."""
 
     def run(batches):
-        import re
+        import pandas as pd
+
+        for pdf in batches:
+            for number, content in zip(pdf["segment"], pdf["content"], strict=True):
+                rows = [(e.key.decode(), None if e.tombstone else e.value.decode(), e.ts, (int(number) << 32) + i, e.tombstone) for i, e in enumerate(unpack(bytes(content), size))]
+                yield pd.DataFrame(rows, columns=[f.name for f in KV_SCHEMA.fields])
+
+    return segments.mapInPandas(run, KV_SCHEMA)
 
+
+def segment_number(name: str) -> int:
+    """The last number in a segment's file name."""
+    return int(re.findall(r"\d+", name.rsplit("/", 1)[-1])[-1])
+
+
+def read_log(spark: SparkSession, path: str, size: int = 4096, start: tuple[int, int] = (0, 0)) -> DataFrame:
+    """Log segment files as a change log, from ``start`` (segment, block) on. A segment is one row of the reader, so segments are the unit of work; ``seq``
+    orders by the number in the segment's name, then by place in what is read of it."""
+
+    def run(batches):
         import pandas as pd
 
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                number = int(re.findall(r"\d+", name.rsplit("/", 1)[-1])[-1])
-                rows = [(e.key.decode(), e.value.decode(), e.ts, (number << 32) + i, e.tombstone) for i, e in enumerate(unpack(bytes(content), size))]
-                yield pd.DataFrame(rows, columns=[f.name for f in KV_SCHEMA.fields])
+                number = segment_number(name)
+                if number >= start[0]:
+                    data = bytes(content)[start[1] * size if number == start[0] else 0 :]
+                    rows = [(e.key.decode(), None if e.tombstone else e.value.decode(), e.ts, (number << 32) + i, e.tombstone) for i, e in enumerate(unpack(data, size))]
+                    yield pd.DataFrame(rows, columns=[f.name for f in KV_SCHEMA.fields])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, KV_SCHEMA)

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bloom, countmin, hll
-from ..functions.hashing import fnv1a64, leading_bits, trailing_zeros
 from ..operators.simhash import fingerprints
 from .store import KVStore
 
@@ -48,7 +47,7 @@ class SketchRegistry:
         return print_
 
     def delete(self, kind: str, name: str) -> None:
-        self.store._one(PREFIX[kind] + name, None, True, None)
+        self.store.system_delete(PREFIX[kind] + name)
 
     def add(self, kind: str, name: str, items: DataFrame, column: str) -> None:
         """Aggregates on the cluster to at most one row per cell of the sketch, then merges those into the stored state."""
@@ -81,9 +80,3 @@ class SketchRegistry:
     def distance(self, a: str, b: str) -> int:
         x, y = self._load("simhash", a), self._load("simhash", b)
         return (int.from_bytes(x, "big") ^ int.from_bytes(y, "big")).bit_count()
-
-
-def hll_pair(x, p: int):
-    """The register one item touches, as a struct (bucket, rank)."""
-    h = fnv1a64(x)
-    return F.struct(leading_bits(h, p).alias("bucket"), trailing_zeros(h).alias("rank"))
