@@ -5,11 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import bloom, countmin, hll
 from ..operators import compaction, latest, merkle, scan, sequential, simhash
-from ..schema import events_changelog, is_reserved
+from ..schema import RESERVED_PREFIXES, EngineOptions, events_changelog, is_reserved
+from ..sources import codec
+from ..sources.registry import SketchRegistry
+from ..sources.scratch import Scratch
+from ..sources.store import KVStore, payload_of
+from ..streaming import changelog as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -124,17 +130,38 @@ def kv_floor_key(spark, sf_dir):
     return scan.floor_key(changelog(spark, sf_dir), "u000055x")
 
 
+PREFIXES = (*RESERVED_PREFIXES, "u", "sm_")
+
+
 @query(
-    """SELECT DISTINCT x || CAST(user_id AS VARCHAR) AS key, x IN ('bf_', 'cms_', 'hpp_', 'sh_') AS reserved FROM events,
-    (VALUES ('bf_'), ('cms_'), ('hpp_'), ('sh_'), ('u'), ('sm_')) AS t(x)"""
+    f"""SELECT DISTINCT x || CAST(user_id AS VARCHAR) AS key, x IN ({', '.join(f"'{x}'" for x in RESERVED_PREFIXES)}) AS reserved FROM events,
+    (VALUES {', '.join(f"('{x}')" for x in PREFIXES)}) AS t(x)"""
 )
 def reserved_prefix_filter(spark, sf_dir):
     users = table(spark, sf_dir, "events").select("user_id").distinct()
-    prefixes = F.explode(F.array(*[F.lit(x) for x in ("bf_", "cms_", "hpp_", "sh_", "u", "sm_")]))
+    prefixes = F.explode(F.array(*[F.lit(x) for x in PREFIXES]))
     keys = users.select(F.col("user_id").cast("string").alias("u"), prefixes.alias("x")).select(F.concat("x", "u").alias("key"))
     return keys.select("key", is_reserved(F.col("key")).alias("reserved"))
 
 
+@query(f"WITH {LATEST} SELECT key, value FROM live WHERE starts_with(key, 'u00001') ORDER BY key LIMIT 7")
+def kv_prefix_iterate(spark, sf_dir):
+    """Seven steps of a cursor over a prefix."""
+    it = scan.prefix_iterate(changelog(spark, sf_dir), "u00001")
+    rows = [(r["key"], r["value"]) for r, _ in zip(it, range(7), strict=False)]
+    return spark.createDataFrame(rows, "key string, value string")
+
+
+@query(f"WITH {LATEST} SELECT key, value FROM live WHERE key BETWEEN 'u000020' AND 'u000029' ORDER BY key LIMIT 5")
+def kv_range_iterate(spark, sf_dir):
+    """A cursor over a range that is stopped, begun again and read for five steps."""
+    it = scan.range_iterate(changelog(spark, sf_dir), "u000020", "u000029")
+    it.next()
+    it.stop()
+    it.reset()
+    return spark.createDataFrame([(r["key"], r["value"]) for r, _ in zip(it, range(5), strict=False)], "key string, value string")
+
+
 # -- runs and compaction ----------------------------------------------------------------------------------------------
 
 
@@ -174,6 +201,79 @@ def kv_table_bounds(spark, sf_dir):
     return compaction.run_bounds(runs(spark, sf_dir))
 
 
+@query(
+    f"""WITH {RUNS}, placed AS (SELECT DISTINCT generation, CAST(generation % 3 AS INTEGER) AS level FROM runs)
+    SELECT level, generation, CAST(row_number() OVER (ORDER BY level, generation DESC) AS INTEGER) AS place FROM placed"""
+)
+def kv_read_order(spark, sf_dir):
+    """The order in which a point read would visit the runs, dealt over three levels."""
+    placed = runs(spark, sf_dir).select("generation").distinct().withColumn("level", (F.col("generation") % 3).cast("int"))
+    return compaction.read_order(placed).select("level", "generation", "place")
+
+
+# -- the store ----------------------------------------------------------------------------------------------------------
+
+SLICES = 5
+
+
+def filled_store(spark: SparkSession, sf_dir: str, options: EngineOptions) -> KVStore:
+    """A store that took the log in batches, one stretch of time after the other."""
+    store, log = KVStore(spark, Scratch(spark, "store").path, options), changelog(spark, sf_dir)
+    low, high = log.agg(F.min("ts"), F.max("ts")).first()
+    for i in range(SLICES if low is not None else 0):
+        store.append(log.filter(F.floor((F.col("ts") - low) * SLICES / (high - low + 1)) == i))
+    return store
+
+
+@query(f"WITH {LATEST} SELECT key, value, ts, seq FROM live")
+def store_size_tiered(spark, sf_dir):
+    """The visible state of a store whose batches were merged two by two, level by level."""
+    return filled_store(spark, sf_dir, EngineOptions(merge_threshold=2, max_levels=3)).live().select("key", "value", "ts", "seq")
+
+
+@query(f"WITH {LATEST} SELECT key, value, ts, seq FROM live")
+def store_leveled(spark, sf_dir):
+    """The same with leveled compaction."""
+    return filled_store(spark, sf_dir, EngineOptions(merge_threshold=2, max_levels=3, compaction="leveled")).live().select("key", "value", "ts", "seq")
+
+
+@query(f"WITH {LATEST} SELECT key, value, ts, seq FROM live")
+def stream_changelog(spark, sf_dir):
+    """The log as a stream of files into a store."""
+    scratch = Scratch(spark, "stream")
+    log = scratch.save(changelog(spark, sf_dir).repartition(SLICES, "key"), "in")
+    store = KVStore(spark, f"{scratch.path}/store", EngineOptions(merge_threshold=3))
+    streams.append_stream(streams.read_stream(spark, f"{scratch.path}/in", log.schema, 2), store, f"{scratch.path}/checkpoint").awaitTermination()
+    return store.live().select("key", "value", "ts", "seq")
+
+
+@query(f"WITH {LOG} SELECT key, CASE WHEN tombstone THEN NULL ELSE value END AS value, ts, tombstone, row_number() OVER (ORDER BY ts, seq) - 1 AS place FROM log")
+def wal_replay(spark, sf_dir):
+    """The log packed into blocks, segment by segment, and read back: key, value, time and tombstone in the order they were written."""
+    segments = Scratch(spark, "wal").save(codec.pack_log(changelog(spark, sf_dir)), "segments")
+    back = codec.unpack_log(segments)
+    sizes = back.groupBy(F.shiftright("seq", 32).alias("s")).agg(F.count("*").alias("n"))
+    before = sizes.select("s", (F.sum("n").over(W.orderBy("s")) - F.col("n")).alias("before"))  # one row per segment
+    return back.withColumn("s", F.shiftright("seq", 32)).join(before, "s").select("key", "value", "ts", "tombstone", (F.col("before") + F.col("seq").bitwiseAND(F.lit(0xFFFFFFFF))).alias("place"))
+
+
+@query(
+    f"""WITH {LATEST}, placed AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS idx FROM latest)
+    SELECT 0 AS level, idx FROM placed WHERE ends_with(key, '7')"""
+)
+def store_validate(spark, sf_dir):
+    """The leaves of a run whose stored values were changed, for keys that end in 7, after its tree was saved."""
+    scratch = Scratch(spark, "validate")
+    store = KVStore(spark, f"{scratch.path}/store")
+    g = store.append(latest.latest_per_key(changelog(spark, sf_dir)))
+    store.save_merkle(g)
+    run = store.log().drop("level", "generation")
+    damaged = scratch.save(run.withColumn("value", F.when(F.endswith(F.col("key"), F.lit("7")), F.concat(F.coalesce("value", F.lit("")), F.lit("!"))).otherwise(F.col("value"))), "damaged")
+    now = merkle.build(merkle.leaves(damaged, payload_of(damaged)))
+    stored = spark.read.parquet(f"{store.base}/merkle/generation={g}")
+    return merkle.diff(stored, now).select("level", "idx")
+
+
 # -- sketches ---------------------------------------------------------------------------------------------------------
 
 H64 = "(('0x' || substr(md5(encode(CAST({x} AS VARCHAR)) || {seed}), 1, 16))::UBIGINT)"
@@ -259,10 +359,50 @@ def hll_estimate_ref(spark, sf_dir):
     return hll.estimate(user_registers(spark, sf_dir), HLL_P).select(F.round("estimate", 6).alias("estimate"))
 
 
-@query()
+@query("SELECT l_returnflag, count(DISTINCT l_orderkey) AS n, true AS within FROM lineitem GROUP BY 1")
 def hll_production(spark, sf_dir):
-    """The built-in sketch, which another engine does not reproduce bit by bit."""
-    return hll.production(table(spark, sf_dir, "lineitem"), "l_orderkey", ["l_returnflag"])
+    """The built-in sketch, which another engine does not reproduce bit by bit: whether its estimate lies within 5 %, some three standard errors, of the exact count."""
+    lines = table(spark, sf_dir, "lineitem")
+    exact = lines.groupBy("l_returnflag").agg(F.countDistinct("l_orderkey").alias("n"))
+    both = hll.production(lines, "l_orderkey", ["l_returnflag"]).join(exact, "l_returnflag")
+    return both.select("l_returnflag", "n", (F.abs(F.col("estimate") - F.col("n")) <= 0.05 * F.col("n")).alias("within"))
+
+
+@query(
+    f"""WITH items AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS x, o_orderpriority AS part FROM orders WHERE o_custkey IS NOT NULL),
+    bits AS (SELECT DISTINCT part, unnest([{BITS}]) AS bit FROM items), each_one AS (SELECT part, count(*) AS n FROM bits GROUP BY 1)
+    SELECT CAST(sum(CAST(round(-{BLOOM_M} / {BLOOM_K}.0 * ln(1 - n / {BLOOM_M}.0)) AS BIGINT)) AS BIGINT) AS expected FROM each_one"""
+)
+def bloom_merge_expected(spark, sf_dir):
+    """What a filter over five filters' union must expect, one filter for each priority."""
+    orders = table(spark, sf_dir, "orders").filter("o_custkey is not null")
+    items = orders.select(F.col("o_custkey").cast("string").alias("x"), F.col("o_orderpriority").alias("part")).distinct()
+    bits = items.select("part", F.explode(bloom.bits_of(F.col("x"), BLOOM_M, BLOOM_K)).alias("bit")).distinct()
+    return bloom.expected_elements(bits, "part", BLOOM_M, BLOOM_K)
+
+
+@query(
+    f"""WITH {CMS}, sketch AS (SELECT row, bucket, CAST(sum(n) AS BIGINT) AS cnt FROM cells GROUP BY 1, 2), {FNV_SQL.replace('items', 'users').replace("'user' || ", "'' || ")},
+    s AS (SELECT sum(power(2.0, -rank)) + (1024 - count(*)) AS total, greatest(1024 - count(*) FILTER (WHERE rank > 0), 0) AS empty FROM regs),
+    r AS (SELECT (0.7213 / (1 + 1.079 / 1024)) * 1024 * 1024 / total AS raw, empty FROM s)
+    SELECT true AS has, (SELECT min(cnt) FROM cells JOIN sketch USING (row, bucket) WHERE x = (SELECT CAST(min(user_id) AS VARCHAR) FROM events)) AS frequency,
+      (SELECT round(CASE WHEN raw <= 2560 AND empty > 0 THEN 1024 * ln(1024 / empty) ELSE raw END, 6) FROM r) AS cardinality, 0 AS distance, true AS gone"""
+)
+def sketch_registry(spark, sf_dir):
+    """Named sketches in a store: made, fed from the events, read back, asked and deleted."""
+    reg, events = SketchRegistry(KVStore(spark, Scratch(spark, "registry").path, EngineOptions(run_rows=100))), table(spark, sf_dir, "events")
+    reg.create_bloom("users", 1000, 0.01)
+    reg.create_countmin("users", 0.001, 0.01)
+    reg.create_hll("users", HLL_P)
+    for kind in ("bloom", "countmin", "hll"):
+        reg.add(kind, "users", events, "user_id")
+    for name in ("a", "b"):
+        reg.create_simhash(name, "the same words twice")
+    one = str(events.agg(F.min("user_id")).first()[0])
+    has, frequency, cardinality, distance = reg.contains("users", one), reg.frequency("users", one), round(reg.cardinality("users"), 6), reg.distance("a", "b")
+    reg.delete("bloom", "users")
+    gone = reg.store.get(RESERVED_PREFIXES[0] + "users") is None
+    return spark.createDataFrame([(has, frequency, cardinality, distance, gone)], "has boolean, frequency long, cardinality double, distance int, gone boolean")
 
 
 # -- documents --------------------------------------------------------------------------------------------------------
@@ -294,6 +434,13 @@ def simhash_hamming(spark, sf_dir):
     return prints.crossJoin(F.broadcast(first)).select("doc_id", simhash.hamming(F.col("fingerprint"), F.col("first")).alias("distance"))  # one row
 
 
+@query(
+    f"""WITH {PRINTS} SELECT doc_id, lpad(bin(('0x' || substr(fingerprint, 1, 16))::UBIGINT), 64, '0') || lpad(bin(('0x' || substr(fingerprint, 17, 16))::UBIGINT), 64, '0') AS bits FROM prints"""
+)
+def simhash_bits(spark, sf_dir):
+    return simhash.fingerprints(table(spark, sf_dir, "documents")).select("doc_id", simhash.bit_string(F.col("fingerprint")).alias("bits"))
+
+
 @query(
     f"""WITH {PRINTS}, reps AS (SELECT fingerprint, min(doc_id) AS rep FROM prints GROUP BY 1), met AS (SELECT a.rep AS id_a, b.rep AS id_b, CAST({DISTANCE} AS INTEGER) AS distance
     FROM reps a JOIN reps b ON a.rep < b.rep) SELECT id_a, id_b, distance FROM met WHERE distance <= 8"""
@@ -331,10 +478,48 @@ def merkle_root_md5(spark, sf_dir):
     return merkle.root(merkle.build(run_leaves(spark, sf_dir), merkle.md5_parent)).select("root")
 
 
-@query()
+CRC_STEP = "CASE WHEN {c} % 2 = 1 THEN xor({c} // 2, 3988292384) ELSE {c} // 2 END"
+CRC_BITS = ", ".join(f"b{i} AS (SELECT i, {CRC_STEP.format(c='c')} AS c FROM b{i - 1})" for i in range(1, 9))
+
+
+def crc_sql(data: str) -> str:
+    """crc32 of a list of bytes, by the table ``crc_table``, made by rule."""
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {data}), lambda a, b: xor(a // 256, crc_table[xor(a, b) % 256 + 1])), 4294967295)"
+
+
+def le_sql(x: str) -> str:
+    return f"[({x}) % 256, ({x}) // 256 % 256, ({x}) // 65536 % 256, ({x}) // 16777216]"
+
+
+CRC_DEPTH = 14
+CRC_LEVELS = ", ".join(
+    f"""p{i} AS (SELECT idx // 2 AS idx, max(hash) FILTER (WHERE idx % 2 = 0) AS l, coalesce(max(hash) FILTER (WHERE idx % 2 = 1), 0) AS r FROM l{i - 1} WHERE (SELECT count(*) FROM l{i - 1}) > 1 GROUP BY 1),
+    l{i} AS (SELECT idx, {crc_sql(f"list_concat({le_sql('l')}, {le_sql('r')})")} AS hash FROM p{i}, crc)"""
+    for i in range(1, CRC_DEPTH)
+)
+
+
+@query(
+    f"""WITH {LATEST}, b0 AS (SELECT i, i AS c FROM range(256) t(i)), {CRC_BITS}, crc AS (SELECT list(c ORDER BY i) AS crc_table FROM b8),
+    raw AS (SELECT row_number() OVER (ORDER BY key) - 1 AS idx, key || coalesce('|' || value, '') AS payload FROM latest),
+    l0 AS (SELECT idx, {crc_sql("list_transform(range(1, length(payload) + 1), lambda j: CAST(ascii(substr(payload, CAST(j AS BIGINT), 1)) AS BIGINT))")} AS hash FROM raw, crc), {CRC_LEVELS}
+    """
+    + " UNION ALL ".join(f"SELECT {i} AS level, idx, hash FROM l{i}" for i in range(CRC_DEPTH))
+)
 def merkle_tree_crc(spark, sf_dir):
+    """All nodes of a tree, written as bytes and read back."""
+    run = latest.latest_per_key(changelog(spark, sf_dir))
+    tree = merkle.build(merkle.leaves(run, F.encode(F.concat_ws("|", "key", "value"), "utf-8")))
+    return merkle.from_bytes(spark, merkle.to_bytes(tree))
+
+
+@query(f"WITH {LATEST}, levels AS (SELECT count(*) AS n, CAST(ceil(log2(count(*))) AS INTEGER) AS top FROM latest), places AS (SELECT row_number() OVER (ORDER BY key) - 1 AS idx, ends_with(key, '7') AS hit FROM latest) SELECT DISTINCT CAST(level AS INTEGER) AS level, idx // CAST(power(2, level) AS BIGINT) AS idx FROM places, levels, range(24) t(level) WHERE hit AND level <= top")
+def merkle_validate_nodes(spark, sf_dir):
+    """Every node, of any level, that differs once the values of keys that end in 7 are changed."""
     run = latest.latest_per_key(changelog(spark, sf_dir))
-    return merkle.build(merkle.leaves(run, F.encode(F.concat_ws("|", "key", "value"), "utf-8")))
+    changed = run.withColumn("value", F.when(F.endswith(F.col("key"), F.lit("7")), F.concat(F.coalesce("value", F.lit("")), F.lit("!"))).otherwise(F.col("value")))
+    before, after = (merkle.build(merkle.leaves(r, payload_of(r))) for r in (run, changed))
+    return merkle.diff(before, after, None).select("level", "idx")
 
 
 MD5_PAIR = ", ".join(
@@ -381,3 +566,15 @@ def lru_hits(spark, sf_dir):
     """Eight caches of 5 keys, fed by the events in order."""
     acc = table(spark, sf_dir, "events").select((F.col("user_id") % 8).alias("cache"), F.col("user_id").alias("key"), F.col("event_id").alias("seq"))
     return sequential.lru_simulation(acc, 5, "cache", "key", ["seq"]).select("cache", "key", "seq", "hit")
+
+
+@query(
+    """WITH acc AS (SELECT user_id % 8 AS cache, user_id AS key, event_id AS seq, event_type = 'error' AS gone, event_id AS i FROM events)
+    SELECT cache, key, seq, coalesce(max(CASE WHEN gone THEN 0 ELSE 1 END) OVER (PARTITION BY cache, key ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS hit FROM acc"""
+)
+def lru_remove(spark, sf_dir):
+    """Caches large enough for all of their keys: puts, and removals by errors, after which a key is known as absent."""
+    events = table(spark, sf_dir, "events")
+    op = F.when(F.col("event_type") == "error", "remove").otherwise("put")
+    acc = events.select((F.col("user_id") % 8).alias("cache"), F.col("user_id").alias("key"), F.col("event_id").alias("seq"), op.alias("op"))
+    return sequential.lru_simulation(acc, 1 << 20, "cache", "key", ["seq"], "op").select("cache", "key", "seq", "hit")
