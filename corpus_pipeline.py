@@ -29,14 +29,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a unit of a test item within eight per cent of edits go."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources take their weights' shares of all words: a document taken twice becomes two rows, one not taken goes, as does one without words."""
     return mixing.mixed(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left as token records in ascending doc_id; the rows are their index: doc_id, start, n_tokens, ids_crc32 and the record's place."""
     return token_records.encode_table(docs, public_tokenizers.path(TOKENIZER), END_ID)
 
 
