@@ -1,10 +1,8 @@
-"""What the operators share: reading, scratch tables, held-out splits and Arrow helpers."""
+"""What the operators share: reading, held-out splits, names and Arrow helpers."""
 
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch, shared_folder  # noqa: F401  the operators take them from here
+
 SLICE_BYTES = 4 << 20
 
 
@@ -30,37 +30,19 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where the session names none, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestrata-"))
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
-
-
-class Scratch:
-    """Tables written to the shared folder: they cut lineage and survive lost executors."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
-
-    def drop(self, *names: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        for name in names:
-            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)
-
-
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """The name, with underscores before it until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
