@@ -4,16 +4,20 @@ Record: length u64 | masked crc32 of those 8 bytes u32 | payload | masked crc32
 (1: the id is null) | doc_id i64 | tokens before it in the shard u64 | tokens n u64 | bytes per id u8 | n ids; little-endian. The mask turns the
 checksum by 15 bits and adds a constant, so that a checksum stored inside data is not taken for one of the data.
 
-Documents are dealt by range of doc_id, so shard files in name order hold ascending ids. Records go through Spark's own text writer
+Documents are dealt by range of doc_id and, inside an id, of a hash of the text, so shard files in name order hold ascending ids, and many rows of one id, or
+without one, are spread over shards. Records go through Spark's own text writer
 (raw bytes, newline as the record end): its commit protocol keeps files whole when executors are lost or tasks run twice, on
 any file system Spark can write.
 
-Defined cases: a null or empty text is the end id alone; a null id sorts first; rows that repeat an id all stay, ordered by text;
+Encoding: a tokenizer that provably takes a text word by word is run once per distinct word (``WordEncoder``); with any other whole texts are encoded.
+
+Defined cases: a null or empty text is the end id alone; a null id sorts first; rows that repeat an id all stay, ordered by a hash of the text;
 an empty table gives no records; columns other than id and text are not read.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,6 +37,7 @@ SHARD_BYTES = 16 << 20
 CACHE_WORDS = 2_000_000
 JOIN_WORDS = 500
 GATHER_WORDS = 50_000
+SHARDS = 4096
 
 INDEX_SCHEMA = "doc_id long, shard int, offset long, length long, local_start long, n_tokens long, ids_crc32 long"
 
@@ -64,8 +69,45 @@ def read_frame(data: memoryview, at: int) -> tuple[memoryview, int]:
     return payload, at + 17 + n
 
 
+# The settings of a tokenizer whose ids of a text are those of its words in turn. Normalisation neither joins nor parts words at white space, the
+# pattern lower-cases, parts letters from signs and matches no white space, and nothing depends on a match's neighbours.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def by_words(spec: str) -> bool:
+    """Whether a tokenizer's ids of a text are provably those of its words: only for the settings above, a plain BPE model, and added tokens that hold no white space
+    and take none with them."""
+    d = json.loads(spec)
+    plain = d["model"].get("type") == "BPE" and not d["model"].get("dropout") and not d.get("truncation") and not d.get("padding")
+    added = all(not a["lstrip"] and not a["rstrip"] and not a["single_word"] and not any(c.isspace() for c in a["content"]) for a in d.get("added_tokens", []))
+    return plain and added and d.get("normalizer") == NORMALIZER and d.get("pre_tokenizer") == PRE_TOKENIZER
+
+
+class TextEncoder:
+    """Encodes whole texts, one at a time."""
+
+    def __init__(self, spec: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(spec)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+
+    def each(self, text: pa.Array) -> Iterator[np.ndarray]:
+        for t in text:
+            yield np.array(self.tokenizer.encode(t.as_py() or "", add_special_tokens=False).ids, f"<u{self.width}")
+
+
 class WordEncoder:
-    """Encodes texts word by word. The tokenizer splits at ASCII white space before anything else, so a text's ids are those of its
+    """Encodes texts word by word, for tokenizers that pass ``by_words``. The tokenizer splits at ASCII white space before anything else, so a text's ids are those of its
     words in turn; distinct words are encoded once, joined by spaces, and kept under 64-bit hashes up to a bound on their number. It lower-cases and parts
     letters from signs, so words of ASCII letters share an entry whatever their case and a last sign."""
 
@@ -150,14 +192,15 @@ class WordEncoder:
             at = end
 
 
-_ENCODERS: dict[int, WordEncoder] = {}
+_ENCODERS: dict[int, WordEncoder | TextEncoder] = {}
 
 
-def encoder(spec: str) -> WordEncoder:
+def encoder(spec: str) -> WordEncoder | TextEncoder:
     """One per Python worker, kept between tasks."""
     key = zlib.crc32(spec.encode())
     if key not in _ENCODERS:
-        _ENCODERS[key] = WordEncoder(spec)
+        _ENCODERS.clear()
+        _ENCODERS[key] = WordEncoder(spec) if by_words(spec) else TextEncoder(spec)
     return _ENCODERS[key]
 
 
@@ -168,7 +211,8 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col:
         spec = spark.sparkContext.broadcast(f.read())
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    dealt = docs.repartitionByRange(max(1, -(-size // shard_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = docs.withColumn("h", F.xxhash64("text"))
+    dealt = keyed.repartitionByRange(max(1, -(-size // shard_bytes)), "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, before = encoder(spec.value), 0
@@ -254,11 +298,14 @@ def fetch(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
 
 
 def with_starts(index: DataFrame) -> DataFrame:
-    """Adds ``start``, the tokens of all records before one: those before it in its shard and those of earlier shards. The running sum is
-    over one row per shard."""
-    sums = index.groupBy("shard").agg(F.sum("n_tokens").alias("c"))
-    base = sums.select("shard", (F.sum("c").over(W.orderBy("shard")) - F.col("c")).alias("_base"))
-    return index.join(F.broadcast(base), "shard").withColumn("start", F.col("_base") + F.col("local_start")).drop("_base")
+    """Adds ``start``, the tokens of all records before one: those before it in its shard and those of earlier shards. Running sums go over the shards of a block, and
+    over one row per block of SHARDS shards."""
+    sums = index.groupBy("shard").agg(F.sum("n_tokens").alias("c")).withColumn("_block", F.floor(F.col("shard") / SHARDS))
+    blocks = sums.groupBy("_block").agg(F.sum("c").alias("b"))
+    before = blocks.select("_block", (F.sum("b").over(W.orderBy("_block")) - F.col("b")).alias("_before"))
+    inside = F.sum("c").over(W.partitionBy("_block").orderBy("shard")) - F.col("c")
+    base = sums.withColumn("_inside", inside).join(before, "_block").select("shard", (F.col("_inside") + F.col("_before")).alias("_base"))
+    return index.join(base, "shard").withColumn("start", F.col("_base") + F.col("local_start")).drop("_base")
 
 
 def encode_table(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | None = None) -> DataFrame:
