@@ -2,7 +2,8 @@
 
 Features are rates over a whole text: hits of an abuse lexicon (plain and obfuscated), hits close to the second person, capitals, punctuation and
 symbols inside words. The lexicon is a short fixed list together with words that mark toxic rows among the labelled ones. Trees are fitted in
-numpy on histograms; calibration is the isotonic fit of out-of-fold margins to the labels.
+numpy on histograms; calibration is the isotonic fit of out-of-fold margins to the labels. What a fold's margins rest on, the lexicon included, is
+learned without that fold.
 
 Fitting takes a bounded sample of labelled rows, ``max_rows`` a class in the order of a hash of the id; it is the only bounded step. Rows are weighted
 by what their class has among all training labels for each one sampled, in the lexicon's rates, the trees and the calibration, so scores are
@@ -10,7 +11,7 @@ probabilities at the true class ratio whatever the size. Scoring reads every tex
 
 Defined cases: null and empty texts have all rates 0 and are scored like that; null or other labels are not learned from, and of an id labelled twice
 the higher label counts; with labels of one class only the score is that class, with none 0; repeated rows are scored each; an empty table
-gives no rows.
+gives no rows; a column of the output's name is replaced, others may have any name.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashIndex, segment_sums, text_slices, word_hashes, words_of
+from .common import HashIndex, Scratch, segment_sums, text_slices, unused, word_hashes, words_of
 
-MAX_ROWS = 5000
+MAX_ROWS, FOLDS = 5000, 4
 CACHE_WORDS = 1_500_000
 NEAR = 6
 # Common insults, second-person words, and characters that stand for letters.
@@ -223,15 +224,14 @@ class Model:
         return np.clip(np.interp(self.trees.margin(x), self.knots, self.values), 0, 1)
 
 
-def fit_model(lexicon: dict[str, float], x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, folds: int = 4) -> Model:
-    weight = np.ones(len(y)) if weight is None else weight
+def fit_model(lexicon: dict[str, float], x: np.ndarray, y: np.ndarray, weight: np.ndarray, fold: np.ndarray, without: list[np.ndarray]) -> Model:
+    """``without[f]`` are the features under the lexicon that was learned without fold f."""
     if len(set(y.tolist())) < 2:
         return Model(lexicon, None, np.zeros(1), np.zeros(1), float(y[0]) if len(y) else 0.0)
     out = np.zeros(len(y))
-    fold = np.empty(len(y), int)
-    fold[np.argsort(y, kind="stable")] = np.arange(len(y)) % folds
-    for f in range(folds):
-        out[fold == f] = fit_trees(x[fold != f], y[fold != f], weight[fold != f]).margin(x[fold == f])
+    for f, own in enumerate(without):
+        if (fold == f).any() and (fold != f).any():
+            out[fold == f] = fit_trees(own[fold != f], y[fold != f], weight[fold != f]).margin(own[fold == f])
     return Model(lexicon, fit_trees(x, y, weight), *isotonic(out, y, weight))
 
 
@@ -244,11 +244,11 @@ def marked_rows(labels: DataFrame, learn: Column) -> DataFrame:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX_ROWS) -> DataFrame:
-    """doc_id, text, toxic: at most ``max_rows`` of each class, by a hash of the id. ``learn`` is a condition on labels' doc_id."""
+    """doc_id, text, toxic, fold: at most ``max_rows`` of each class, by a hash of the id. ``learn`` is a condition on labels' doc_id."""
     marked = marked_rows(labels, learn)
     part = lambda t: marked.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     taken = part(0).unionByName(part(1))  # at most 2 * max_rows ids, so it may be broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").withColumn("fold", F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7 * FOLDS)).cast("int") % FOLDS)
 
 
 def class_weights(labels: DataFrame, learn: Column, max_rows: int) -> dict[int, float]:
@@ -258,30 +258,32 @@ def class_weights(labels: DataFrame, learn: Column, max_rows: int) -> dict[int,
     return {t: n / taken[t] * sum(taken.values()) / sum(total.values()) for t, n in total.items()}
 
 
-def learn_lexicon(rows: DataFrame, weights: dict[int, float], most: int = 400, least_z: float = 5.0, least_share: float = 0.02) -> dict[str, float]:
-    """Words that are in far more toxic rows than chance would put there, with a weight between 0 and 1. A word must be in ``least_share`` of
-    the toxic rows, so that a few copies of one mislabelled text add none. Chance is that of the sample; rates are weighted by class."""
+def word_counts(rows: DataFrame) -> DataFrame:
+    """word, fold, bad, n: in how many toxic rows and rows in all of each fold a word is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
             starts, codes, words = words_of(part.column("text"))
-            toxic = part.column("toxic").to_numpy(zero_copy_only=False)
+            toxic, fold = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("toxic", "fold"))
             doc = np.repeat(np.arange(len(toxic)), np.diff(starts))
-            bare = [plain(w) for w in words]
-            index = {w: i for i, w in enumerate(dict.fromkeys(bare))}
-            own = np.array([index[w] for w in bare], np.int64)[codes] if words else codes.astype(np.int64)
-            pairs = np.unique(doc * max(1, len(index)) + own)
-            d, w = pairs // max(1, len(index)), pairs % max(1, len(index))
-            bad = np.bincount(w, toxic[d], len(index)).astype(np.int64) if len(index) else np.zeros(0, np.int64)
-            yield pa.record_batch([pa.array(list(index), pa.string()), pa.array(bad), pa.array(np.bincount(w, minlength=len(index)).astype(np.int64))], ["word", "bad", "n"])
-
-    totals = rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()
-    bad = sum(r["n"] for r in totals if r["toxic"] == 1)
-    n = sum(r["n"] for r in totals)
-    if not 0 < bad < n:
+            index = {w: i for i, w in enumerate(dict.fromkeys(map(plain, words)))}
+            own = np.array([index[plain(w)] for w in words], np.int64)[codes] if words else codes.astype(np.int64)
+            d, w = np.divmod(np.unique(doc * max(1, len(index)) + own), max(1, len(index)))
+            key, at = np.unique(w * FOLDS + fold[d], return_inverse=True)
+            bad, n = np.bincount(at, toxic[d], len(key)).astype(np.int64), np.bincount(at, minlength=len(key))
+            yield pa.record_batch([pa.array(list(index), pa.string()).take(pa.array(key // FOLDS)), pa.array((key % FOLDS).astype(np.int32)), pa.array(bad), pa.array(n.astype(np.int64))], ["word", "fold", "bad", "n"])
+
+    return rows.mapInArrow(run, "word string, fold int, bad long, n long").groupBy("word", "fold").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+
+
+def learn_lexicon(counts: DataFrame, totals: dict[tuple[int, int], int], weights: dict[int, float], without: int = -1, most: int = 400, least_z: float = 5.0, least_share: float = 0.02) -> dict[str, float]:
+    """Words that are in far more toxic rows than chance would put there, with a weight between 0 and 1, learned from all folds but one. A word must be in ``least_share`` of
+    the toxic rows, so that a few copies of one mislabelled text add none. Chance is that of the sample; rates are weighted by class."""
+    bad, good = (sum(n for (t, f), n in totals.items() if t == toxic and f != without) for toxic in (1, 0))
+    if not bad or not good:
         return {}
-    share = bad / n
-    counts = rows.mapInArrow(run, "word string, bad long, n long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    n, share = bad + good, bad / (bad + good)
+    counts = counts.filter(F.col("fold") != without).groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     z = (F.col("bad") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)))
     toxic, other = F.col("bad") * weights[1], (F.col("n") - F.col("bad")) * weights[0]
     rate, true_share = toxic / (toxic + other), bad * weights[1] / (bad * weights[1] + (n - bad) * weights[0])
@@ -290,20 +292,26 @@ def learn_lexicon(rows: DataFrame, weights: dict[int, float], most: int = 400, l
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX_ROWS) -> Model:
-    rows = training_rows(docs, labels, learn, max_rows)
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    rows = scratch.save(training_rows(docs, labels, learn, max_rows), "rows")  # read once of the corpus; 2 * max_rows
     weights = class_weights(labels, learn, max_rows)
-    lexicon = learn_lexicon(rows, weights)
+    totals = {(r["toxic"], r["fold"]): r["n"] for r in rows.groupBy("toxic", "fold").agg(F.count("*").alias("n")).collect()}
+    counts = scratch.save(word_counts(rows), "counts")
+    lexica = [learn_lexicon(counts, totals, weights, f) for f in (*range(FOLDS), -1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        extract = Extractor(lexicon)
+        extract = [Extractor(lexicon) for lexicon in lexica]
         for part in text_slices(batches):
-            x = extract(part.column("text"))
-            yield pa.record_batch([part.column("doc_id"), part.column("toxic"), *[pa.array(c) for c in x.T]], ["doc_id", "toxic", *names])
+            x = np.concatenate([e(part.column("text")) for e in extract], axis=1)
+            yield pa.record_batch([*(part.column(c) for c in ("doc_id", "toxic", "fold")), *[pa.array(c) for c in x.T]], ["doc_id", "toxic", "fold", *names])
 
-    names = [f"f{i}" for i in range(len(FEATURES))]
-    found = rows.mapInArrow(run, "doc_id long, toxic int, " + ", ".join(f"{c} double" for c in names)).orderBy("doc_id", *names).toPandas()  # bounded: 2 * max_rows
-    weight = found["toxic"].map(weights)
-    return fit_model(lexicon, found[names].to_numpy(float), found["toxic"].to_numpy(float), weight.to_numpy(float))
+    width = len(FEATURES)
+    names = [f"f{i}" for i in range(width * len(lexica))]
+    found = rows.mapInArrow(run, "doc_id long, toxic int, fold int, " + ", ".join(f"{c} double" for c in names)).orderBy("doc_id", *names).toPandas()  # bounded: 2 * max_rows
+    scratch.drop("rows", "counts")
+    x = [found[names[i * width : (i + 1) * width]].to_numpy(float) for i in range(len(lexica))]
+    weight = found["toxic"].map(weights).to_numpy(float)
+    return fit_model(lexica[-1], x[-1], found["toxic"].to_numpy(float), weight, found["fold"].to_numpy(), x[:-1])
 
 
 _EXTRACTORS: dict[int, Extractor] = {}
@@ -334,4 +342,5 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "tox
 
 def clean(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows that score below ``least``, with the columns of ``docs``."""
-    return score(docs, model, out="__toxicity").filter(F.col("__toxicity") < least).select(*docs.columns)
+    out = unused("toxicity", docs.columns)
+    return score(docs, model, out=out).filter(F.col(out) < least).drop(out)
