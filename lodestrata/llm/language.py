@@ -1,14 +1,17 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
 The network reads the letter bytes of a text, lower-cased; bytes that are no letters (ASCII signs, digits, white space) end a sequence and reset its
-state. It labels every letter byte with a distribution over languages; a document's distribution is the mean over its labelled bytes. Sequences
-do not depend on what surrounds them, so each distinct one is run once per worker and kept up to a bound.
+state. All bytes above ASCII count as letters, so signs among them do too. A sequence of more than ``LONGEST`` bytes, as texts without spaces have, is cut at
+character borders into sequences of that length at most; every byte is in one of them. The network labels every byte with a distribution over
+languages; a document's distribution is the mean over its labelled bytes. Sequences do not depend on what surrounds them, so each distinct one is
+run once per worker and kept up to a bound.
 
 Training is backpropagation through time in numpy on a bounded sample: ``max_docs`` labelled documents a language (MAX_TOTAL in all) in the order of a hash
 of the id, and ``max_words`` words of each. Nothing else is bounded: every whole text is labelled, without a shuffle.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0, as is everything if no language could be learned; rows with a null
-language are not learned from; repeated rows are labelled each; an empty table gives no rows.
+language are not learned from; repeated rows are labelled each; an empty table gives no rows; columns named lang_pred or lang_score are replaced, others
+may have any name.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import HashIndex, segment_sums, text_slices, word_hashes, words_of
+from .common import HashIndex, segment_sums, text_slices, unused, word_hashes, words_of
 
 MAX_DOCS, MAX_WORDS, MAX_TOTAL = 500, 120, 20_000
 LONGEST = 24
@@ -46,8 +49,15 @@ def letters_only(text: pa.Array) -> pa.Array:
 
 
 def pieces(word: str) -> list[bytes]:
-    raw = word.encode()
-    return [raw[i : i + LONGEST] for i in range(0, len(raw), LONGEST)]
+    """The word's bytes, cut at character borders into parts of LONGEST at most."""
+    raw, out, at = word.encode(), [], 0
+    while len(raw) - at > LONGEST:
+        end = at + LONGEST
+        while raw[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append(raw[at:end])
+        at = end
+    return [*out, raw[at:]]
 
 
 @dataclass
@@ -237,11 +247,12 @@ def labeller(net: Network) -> Labeller:
 
 def predict(docs: DataFrame, net: Network | None, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with lang_pred and lang_score; columns of these names are replaced."""
-    docs = docs.drop("lang_pred", "lang_score", "_letter")
+    docs = docs.drop("lang_pred", "lang_score")
     if net is None:
         return docs.withColumns({"lang_pred": F.lit("und"), "lang_score": F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(net)  # a few thousand weights
-    marked = docs.withColumn("_letter", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    letter = unused("_letter", docs.columns)
+    marked = docs.withColumn(letter, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
     schema = marked.withColumns({"lang_pred": F.lit(""), "lang_score": F.lit(0.0)}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,9 +260,9 @@ def predict(docs: DataFrame, net: Network | None, text_col: str = "text") -> Dat
         langs = np.array([*shared.value.langs, "und"], object)
         for part in text_slices(batches, text_col):
             p, size = label(part.column(text_col))
-            known = part.column("_letter").to_numpy(zero_copy_only=False) & (size > 0)
+            known = part.column(letter).to_numpy(zero_copy_only=False) & (size > 0)
             best = np.where(known, p.argmax(axis=1), len(langs) - 1)
             score = np.where(known, np.clip(p.max(axis=1), 0, 1), 0.0)
             yield pa.record_batch([*part.columns, pa.array(langs[best].tolist(), pa.string()), pa.array(score)], [*part.schema.names, "lang_pred", "lang_score"])
 
-    return marked.mapInArrow(run, schema).drop("_letter")
+    return marked.mapInArrow(run, schema).drop(letter)
