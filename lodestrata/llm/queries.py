@@ -95,7 +95,17 @@ def op7_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
-@query()
+@query(
+    """WITH RECURSIVE texts AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM texts),
+    sizes AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+    common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    links AS (SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * i >= 80 * (p.n + q.n - i)),
+    edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+    reach(x, y) AS (SELECT x, y FROM edges UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x)
+    SELECT t.doc_id, coalesce(n, 0) AS n_shingles, least(t.doc_id, coalesce(r.m, t.doc_id)) AS component_id, t.doc_id = least(t.doc_id, coalesce(r.m, t.doc_id)) AS kept
+    FROM texts t LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT x AS doc_id, min(y) AS m FROM reach GROUP BY 1) r USING (doc_id)"""
+)
 def op8_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), k=4, percent=80)
 
