@@ -89,8 +89,9 @@ def search(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id",
     spark = vectors.sparkSession
     own = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), is_query.alias("q"))
     own = own.filter(F.col("id").isNotNull() & usable(F.col("v"))).groupBy("id", "v").agg(F.max("q").alias("q"))
-    rank = F.row_number().over(W.partitionBy("v").orderBy("id"))
     scratch = Scratch(spark, "neighbours")
+    own = scratch.save(own, "own")
+    rank = F.row_number().over(W.partitionBy("v").orderBy("id"))
     few = own.select("id", "v", rank.alias("r")).filter(F.col("r") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     cands = scratch.save(few, "candidates")
     asked = scratch.save(own.filter("q").select("id", "v"), "queries")
