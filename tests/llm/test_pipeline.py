@@ -15,7 +15,7 @@ from lodestrata.llm import decontaminate, mixing
 from lodestrata.llm.common import Scratch
 
 SF = "/root/testdata/sf0.001"
-COPY, NEAR, LEAK, INSULT = 900_001, 900_002, 900_003, 900_004
+COPY, NEAR, LEAK = 900_001, 900_002, 900_003
 
 
 @pytest.fixture(scope="module")
@@ -26,8 +26,7 @@ def stages(spark):
     clean = docs.filter("length(text) > 900").orderBy("doc_id")
     first = next(r for r in clean.collect() if labels.get(r["doc_id"]) != 1)
     item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
-    insult = next(r for r in docs.orderBy("doc_id").collect() if labels.get(r["doc_id"]) == 1 and zlib.crc32(str(r["doc_id"]).encode()) % 5)
-    planted = [(COPY, first["text"]), (NEAR, first["text"] + " and a tail"), (LEAK, f"quite another beginning {item} and an end"), (INSULT, insult["text"])]
+    planted = [(COPY, first["text"]), (NEAR, first["text"] + " and a tail"), (LEAK, f"quite another beginning {item} and an end")]
     more = spark.createDataFrame([(i, t, "en", "planted", len(t)) for i, t in planted], docs.schema)
     scratch, out = Scratch(spark, "stages"), []
     docs = scratch.save(docs.unionByName(more), "docs")
@@ -36,7 +35,7 @@ def stages(spark):
         assert name == "token_records" or after.columns == docs.columns
         out.append((docs.collect(), after.collect()))
         docs = after
-    return first["doc_id"], labels, out
+    return first["doc_id"], out
 
 
 def ids(rows):
@@ -47,16 +46,18 @@ def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontamination", "mixing", "token_records"]
 
 
-def test_toxic_documents_go(stages):
-    _, labels, out = stages
-    before, after = map(ids, out[0])
-    assert INSULT not in after and not after - before
+def test_toxic_documents_go(spark):
+    """On the larger table, whose labels are enough to learn from."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    before, after = ids(docs.select("doc_id").collect()), ids(corpus_pipeline.drop_toxic(spark, docs, sf).select("doc_id").collect())
     bad, good = ([i for i in before if labels.get(i) == t] for t in (1, 0))
-    assert sum(i in after for i in bad) <= 0.5 * len(bad) and sum(i in after for i in good) >= 0.95 * len(good)
+    assert not after - before and sum(i not in after for i in bad) >= 0.6 * len(bad) and sum(i in after for i in good) >= 0.95 * len(good)
 
 
 def test_one_of_each_near_duplicate_group_stays(stages):
-    first, _, out = stages
+    first, out = stages
     before, after = out[1]
     _, root = brute_components([(r["doc_id"], r["text"]) for r in before], 5, 80)
     assert ids(after) == Counter(i for i in ids(before) if root[i] == i)
@@ -64,7 +65,7 @@ def test_one_of_each_near_duplicate_group_stays(stages):
 
 
 def test_documents_with_test_items_go(spark, stages):
-    _, _, out = stages
+    _, out = stages
     before, after = out[2]
     matcher = decontaminate.Matcher([(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
     assert LEAK in ids(before) and LEAK not in ids(after)
@@ -72,7 +73,7 @@ def test_documents_with_test_items_go(spark, stages):
 
 
 def test_sources_come_near_their_targets(stages):
-    _, _, out = stages
+    _, out = stages
     before, after = out[3]
     size = {r["doc_id"]: len(words(r["text"])) for r in before}
     sums, taken = Counter(), Counter()
@@ -87,7 +88,7 @@ def test_sources_come_near_their_targets(stages):
 
 
 def test_records_hold_the_ids_of_whole_texts(stages):
-    _, _, out = stages
+    _, out = stages
     before, after = out[4]
     tok = Tokenizer.from_file(public_tokenizers.path(corpus_pipeline.TOKENIZER))
     crc = lambda t: zlib.crc32(np.array([*tok.encode(t or "", add_special_tokens=False).ids, corpus_pipeline.END_ID], "<u4").tobytes())
