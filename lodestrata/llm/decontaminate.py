@@ -1,7 +1,8 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Texts are lower-cased and white space runs become one space. Test items longer than two units are cut into units of at least ``unit_chars``; a
-unit of n characters allows k = n * rate edits and is cut into k + 1 pieces, one of which any match within k edits must hold unchanged. An
+unit of n characters allows k = n * rate edits and is cut into k + 1 pieces, one of which any match within k edits must hold unchanged. A unit too short
+for an edit must be found between word borders, so that a short item is not found inside words; where such an item is a common word, it is found as often. An
 Aho-Corasick automaton finds all piece hits in a whole document; around each the window is verified with Myers' bit-parallel distance.
 
 Documents are not shuffled: the automaton goes to them. It is built from blocks of items of bounded size; a larger test set takes several passes
@@ -14,6 +15,7 @@ doc_id is carried through; an empty test set gives no rows; other columns are no
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -72,6 +74,12 @@ def myers(pattern_bits: dict[str, int], m: int, text: str, k: int) -> tuple[int,
     return best
 
 
+def _inside(text: str, start: int, end: int) -> bool:
+    """Whether a word goes on beyond either end."""
+    word = lambda c: c.isalnum() or c == "_"
+    return start > 0 and word(text[start - 1]) and word(text[start]) or end < len(text) and word(text[end]) and word(text[end - 1])
+
+
 class Matcher:
     """The automaton of a block of items."""
 
@@ -111,7 +119,8 @@ class Matcher:
         hits: dict[int, list[int]] = {}
         for end, (length, where) in self.automaton.iter(text):
             for u, at in where:
-                hits.setdefault(u, []).append(end + 1 - length - at)
+                if self.units[u][3] or not _inside(text, end + 1 - length, end + 1):
+                    hits.setdefault(u, []).append(end + 1 - length - at)
         found = []
         for u, starts in hits.items():
             item, no, unit, k = self.units[u]
@@ -151,9 +160,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, unit_chars:
     return reduce(DataFrame.unionByName, [_pass(docs, share(block), rate, unit_chars) for block in item_blocks(benchmark, block_bytes)])
 
 
+_MATCHERS: dict[str, Matcher] = {}
+
+
+def _matcher(key: str, items, rate: float, unit_chars: int) -> Matcher:
+    """One per Python worker, kept between tasks."""
+    if key not in _MATCHERS:
+        _MATCHERS.clear()
+        _MATCHERS[key] = Matcher(items.value, rate, unit_chars)
+    return _MATCHERS[key]
+
+
 def _pass(docs: DataFrame, items, rate: float, unit_chars: int) -> DataFrame:
+    key = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(items.value, rate, unit_chars)
+        matcher = _matcher(key, items, rate, unit_chars)
         types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
         for part in text_slices(batches):
             rows = []
@@ -174,8 +196,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, unit_chars:
 
 
 def _clean(docs: DataFrame, items, rate: float, unit_chars: int) -> DataFrame:
+    key = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(items.value, rate, unit_chars)
+        matcher = _matcher(key, items, rate, unit_chars)
         for part in text_slices(batches):
             keep = [not (text and matcher.match(normal(text))) for text in part.column("text").to_pylist()]
             yield part.filter(pa.array(keep, pa.bool_()))
