@@ -5,7 +5,8 @@ and a bounded knapsack picks how many of each length to take once more. Which on
 
 Lengths are counted on the cluster. A source's length histogram has as many rows as it has distinct lengths, whatever its documents;
 the knapsack runs per source on that. Sources alone (name, words) come to the driver. Documents of a length are then picked in two
-steps, quotas per hash bucket and ranks inside one, so no task orders a whole source.
+steps, quotas per hash bucket and ranks inside one. There are as many buckets as the square root of the documents' number, so neither step orders more
+than about that many rows in one task, even if all documents are of one source and length.
 
 Defined cases: a null or empty text has size 0 and takes nothing; a null source is a source of its own, the last; rows that repeat an
 id are documents of their own, told apart by text hash and otherwise alike; an empty table gives no rows.
@@ -13,6 +14,8 @@ id are documents of their own, told apart by text hash and otherwise alike; an e
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -23,7 +26,7 @@ from .common import Scratch
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 SEED = 17
-HASH_BUCKETS = 256
+LEAST_BUCKETS = 256
 DP_WORDS = 1 << 16
 
 
@@ -116,7 +119,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = MAX_RE
         word_count(F.col(text_col)).alias("size"),
         F.xxhash64(F.col(id_col), F.xxhash64(F.col(text_col)), F.lit(seed)).alias("_h"),
         *([F.struct(*docs.columns).alias("row")] if keep_rows else []),
-    ).withColumn("_b", F.pmod("_h", F.lit(HASH_BUCKETS)).cast("int"))
+    ).withColumn("_b", F.pmod("_h", F.lit(max(LEAST_BUCKETS, math.isqrt(docs.count())))).cast("int"))
     counted = Scratch(spark, "mixing").save(sized.groupBy("_s", "size", "_b").agg(F.count("*").alias("n")), "lengths")
     sums = counted.groupBy("_s").agg(F.sum(F.col("size") * F.col("n")).alias("words")).collect()  # one row per source
     sources = sorted(((r["_s"], r["words"]) for r in sums), key=lambda r: (r[0] == "", r[0].encode()))
@@ -132,7 +135,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = MAX_RE
 
     lengths = counted.groupBy("_s", "size").agg(F.sum("n").alias("n")).join(plan, "_s")
     fitted = lengths.groupBy("_s").applyInPandas(knapsack, "_s string, size long, source_size long, target double, whole int, more long")
-    before = F.sum("n").over(W.partitionBy("_s", "size").orderBy("_b")) - F.col("n")  # at most HASH_BUCKETS rows each
+    before = F.sum("n").over(W.partitionBy("_s", "size").orderBy("_b")) - F.col("n")  # one row per bucket at most
     quota = F.greatest(F.lit(0), F.least(F.col("n"), F.col("more") - F.col("before")))
     shares = counted.withColumn("before", before).join(fitted, ["_s", "size"]).select("_s", "size", "_b", "n", "source_size", "target", "whole", quota.alias("quota"))
     rank = F.row_number().over(W.partitionBy("_s", "size", "_b").orderBy("_h", "doc_id"))
