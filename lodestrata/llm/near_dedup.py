@@ -37,6 +37,7 @@ MANTISSA = 10
 MARGIN = 6.0
 BLOCK = 4096
 FILTER_BITS = 1 << 26
+BROADCAST_IDS = 2_000_000  # 16 MB
 RNG = np.random.default_rng(20_240_229)
 ODD = RNG.integers(0, 1 << 63, REGISTERS, dtype=U) * U(2) + U(1)
 XOR = RNG.integers(0, 1 << 63, REGISTERS, dtype=U) * U(2)
@@ -335,9 +336,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def few(ids: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The ids, written once, and broadcast if they are counted as few enough."""
+    ids = scratch.save(ids, name)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay, all columns: one document of each component. Of rows with equal id and text one stays; a row without an id
-    always does."""
-    gone = near_duplicates(docs, k, percent).filter("not kept and doc_id is not null").select("doc_id").distinct()
+    always does. Only rows whose id occurs more than once are compared by their texts."""
+    scratch = Scratch(docs.sparkSession, "keep")
+    gone = few(near_duplicates(docs, k, percent).filter("not kept and doc_id is not null").select("doc_id").distinct(), scratch, "gone")
     stay = docs.join(gone, "doc_id", "left_anti")
-    return stay.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(docs.filter("doc_id is null"))
+    again = few(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), scratch, "again")
+    repeated = stay.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return stay.join(again, "doc_id", "left_anti").unionByName(repeated)
