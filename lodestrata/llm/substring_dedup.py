@@ -4,9 +4,14 @@ Seeds are hashes of ``K`` words chosen by winnowing: of every ``WINDOW`` places
 found in several documents links each of its places to its first one (least document, then place), never places with one another. The links of
 two documents are merged along diagonals into anchors, and anchors are chained in order in both texts: a chain's score is the words it covers less
 a cost for each word of a gap, found with a Fenwick tree of prefix maxima. Chains are cut at long gaps, their words fetched from both texts,
-grown at both ends past words that differ, and aligned. Chains that span ``STRONG`` words come first; shorter ones, down to a single seed, follow where their
-document has no passage yet, so a document in a large group of near copies is not aligned with every one that was first to have some seed. Passages of
-``MIN_WORDS`` or more at identity ``MIN_IDENTITY`` or more are returned. A passage whose copies differ has to share a seed: that holds for nearly all at identity 0.95 and for fewer below (README).
+grown at both ends past words that differ, and aligned. Passages of ``MIN_WORDS`` or more at identity ``MIN_IDENTITY`` or more are returned. A passage whose
+copies differ has to share a seed: that holds for nearly all at identity 0.95 and for fewer below (README).
+
+A line that is repeated in a text gives the same seeds in every round; later rounds have their number hashed in and meet round by round, so a text of many rounds
+is one chain with the first that has as many. Where that finds no passage, a round is linked to the first place of its seed like any other.
+
+The first place of a seed may share no passage with two later ones that share one with each other. So places meet again under their seed and the words
+behind the ends of what they share with the first place (``relink``), and again under longer and longer keys, until none meet.
 
 First places of single seeds can lie in documents that share too little, while two later documents share a whole passage. So every window of
 ``MIN_WORDS`` words that the seeds leave possible is looked at again, by the hash of all of its words: windows that are equal are linked to the first of
@@ -23,10 +28,12 @@ from each, and aligned with one of them; passages repeated only inside one docum
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, text_slices, word_hashes, words_of
@@ -35,18 +42,18 @@ from .near_dedup import FILTER_BITS, id_filter
 
 K, WINDOW = 8, 12
 MIN_WORDS, MIN_IDENTITY = 50, 0.8
-STRONG = MIN_WORDS - 2 * (WINDOW - 1)  # what an exact repeat of MIN_WORDS words spans at least
 MAX_GAP = 64
 GAP_COST = 0.25
 FLANK = 48
 ASK = 4096
 STEP = U(0x9E3779B97F4A7C15)
+SIDES = (U(0x51A7C3D2E4B69F08), U(0xC2B2AE3D27D4EB4F))  # set keys to the right and left apart
 
 
 def seeds_of(text: pa.Array, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, hash, word place) of the chosen seeds, in order. Where one word is repeated all seeds are alike, so there every ``k``-th is kept and its
-    distance from the beginning of the run is hashed in: such runs then match place by place. The same places come again as -1 - place with
-    the hash of the run alone, which only tells that a run like it is elsewhere."""
+    distance from the beginning of the run is hashed in: such runs then match place by place. Where a line is repeated, a seed that comes again has the number of
+    its round hashed in. The same places come again as -1 - place with the hash of the run, or the seed's, alone, which tells that a run or seed like it is elsewhere."""
     starts, codes, words = words_of(text, lower=True)
     many = np.maximum(np.diff(starts) - k + 1, 0)
     if not many.sum():
@@ -74,12 +81,25 @@ def seeds_of(text: pa.Array, k: int = K, window: int = WINDOW) -> tuple[np.ndarr
     run = np.arange(len(grams)) - np.maximum.accumulate(np.where(fresh, np.arange(len(grams)), 0))
     chosen &= run % k == 0
     inner = chosen & (run > 0)
+    own, at, key = doc[chosen], place[chosen], np.where(run > 0, mix64(grams + run.astype(U) * STEP), grams)[chosen]
+    round_ = rounds(own, key, at)
+    again = round_ > 0
     return (
-        np.concatenate((doc[chosen], doc[inner])), np.concatenate((np.where(run > 0, mix64(grams + run.astype(U) * STEP), grams)[chosen], mix64(~grams[inner]))),
-        np.concatenate((place[chosen], -1 - place[inner])),
+        np.concatenate((own, own[again], doc[inner])), np.concatenate((np.where(again, mix64(key + round_.astype(U) * STEP), key), key[again], mix64(~grams[inner]))),
+        np.concatenate((at, -1 - at[again], -1 - place[inner])),
     )
 
 
+def rounds(doc: np.ndarray, key: np.ndarray, place: np.ndarray, reach: int = MAX_GAP) -> np.ndarray:
+    """How many times in a row a text has had the key before, each time at most ``reach`` words after the last."""
+    order = np.lexsort((place, key, doc))
+    d, h, p = doc[order], key[order], place[order]
+    n = np.arange(len(order))
+    out = np.empty(len(order), np.int64)
+    out[order] = n - np.maximum.accumulate(np.where(np.concatenate(([True], (d[1:] != d[:-1]) | (h[1:] != h[:-1]) | (p[1:] - p[:-1] > reach))), n, 0)) if len(n) else n
+    return out
+
+
 def window_hashes(h: np.ndarray, size: int = MIN_WORDS) -> np.ndarray:
     """Hashes of the ``size`` words from each place on, one row for each place that has so many behind it."""
     out, done, power, length = None, 0, h, 1
@@ -299,12 +319,14 @@ def groups(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[pa.
 def first_places(seeds: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """doc, pos, other, opos: every place of a hash found in several documents, with the first one. First places are written before they are joined: the join
     then has exchanges of its own, and Spark can split a hash that is in very many places."""
-    first = seeds.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("f"), F.max("doc").alias("z")).filter("f.doc <> z").select("h", F.col("f.doc").alias("other"), F.col("f.pos").alias("opos"))
+    place = F.when(F.col("pos") < 0, -1 - F.col("pos")).otherwise(F.col("pos")).cast("int").alias("pos")
+    first = seeds.groupBy("h").agg(F.min(F.struct("doc", place)).alias("f"), F.max("doc").alias("z")).filter("f.doc <> z").select("h", F.col("f.doc").alias("other"), F.col("f.pos").alias("opos"))
     return seeds.join(scratch.save(first, name), "h").select("doc", "pos", "other", "opos")
 
 
-def link(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Chains of documents with earlier ones, as word ranges in both, and the places of all seeds found in several documents."""
+def link(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chains of documents with earlier ones, as word ranges in both; the seeds of later rounds with the first places of such seeds, alike; and the places of all
+    seeds found in several documents."""
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
@@ -323,7 +345,10 @@ def link(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
             if sum(x[4] for x in part) < MIN_IDENTITY * max(high - low, ohigh - olow):  # the whole may fail where an anchor does not
                 yield from ((doc[a], x[0], x[1], other[a], x[2], x[3]) for x in part if x[1] - x[0] < high - low)
 
-    return by_pair(linked.filter("doc <> other and pos >= 0"), out, scratch, "chains"), linked
+    apart = linked.filter("doc <> other")
+    place, first = (-1 - F.col("pos")).cast("long"), F.col("opos").cast("long")
+    later = apart.filter("pos < 0").select("doc", place.alias("a"), (place + K).alias("b"), "other", first.alias("oa"), (first + K).alias("ob"))
+    return by_pair(apart.filter("pos >= 0"), out, scratch, "chains"), later, linked
 
 
 def by_pair(links: DataFrame, out, scratch: Scratch, name: str) -> DataFrame:
@@ -339,8 +364,8 @@ def by_pair(links: DataFrame, out, scratch: Scratch, name: str) -> DataFrame:
     return scratch.save(dealt.mapInArrow(run, CHAIN), name)
 
 
-def uncovered(weak: DataFrame, found: DataFrame) -> DataFrame:
-    """The chains that lie in no passage found for their document."""
+def uncovered(weak: DataFrame, found: DataFrame, margin: int = WINDOW - 1) -> DataFrame:
+    """The chains that lie, with the words on both sides in which a window need not have a seed, in no passage found for their document."""
     names = [c.split()[0] for c in CHAIN.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,8 +377,8 @@ def uncovered(weak: DataFrame, found: DataFrame) -> DataFrame:
                 if len(passage) and len(chain):
                     passage = passage[np.argsort(a[passage], kind="stable")]
                     end = np.maximum.accumulate(b[passage])
-                    at = np.searchsorted(a[passage], a[chain], side="right") - 1
-                    keep[chain] = (at < 0) | (end[np.maximum(at, 0)] < b[chain])
+                    at = np.searchsorted(a[passage], np.maximum(a[chain] - margin, 0), side="right") - 1
+                    keep[chain] = (at < 0) | (end[np.maximum(at, 0)] < b[chain] + margin)
             yield from t.filter(pa.array(keep)).select(names).combine_chunks().to_batches()
 
     none = F.lit(0).cast("long")
@@ -445,11 +470,13 @@ def words_in(docs: DataFrame, ranges: DataFrame, scratch: Scratch, name: str = "
                 rows.extend((doc, a, b, h[own[a:b]].tobytes()) for a, b in zip(ra, rb, strict=True))
             yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc", "ra", "rb", "words"])
 
-    cut_words = texts_of(docs, asked, ranges).mapInArrow(cut, "doc long, ra long, rb long, words binary")
+    cut_words = texts_of(docs, asked, ranges).mapInArrow(cut, WORDS)
     return scratch.save(cut_words.dropDuplicates(["doc", "ra", "rb"]), name)
 
 
+WORDS = "doc long, ra long, rb long, words binary"
 OUT = "doc_id long, start long, end long, other_id long, other_start long, other_end long, distance int, identity double"
+ALIGNED = OUT + ", ra long, rb long, settled boolean, keys array<long>, places array<long>"
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_identity: float = MIN_IDENTITY) -> DataFrame:
@@ -458,18 +485,49 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     spark = docs.sparkSession
     scratch = Scratch(spark, "passages")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    chained, linked = link(docs, scratch)
-    strong = F.least(F.col("b") - F.col("a"), F.col("ob") - F.col("oa")) >= STRONG
-    first = scratch.save(aligned(docs, chained.filter(strong), scratch, "words", min_words, min_identity), "strong")
-    scratch.drop("words")
-    weak = scratch.save(uncovered(chained.filter(~strong), first), "weak")
-    shared = scratch.save(first.unionByName(aligned(docs, weak, scratch, "words", min_words, min_identity)), "shared")
+    chained, later, linked = link(docs, scratch)
+    found = scratch.save(aligned(docs, chained, scratch, "words", min_words, min_identity), "aligned")
+    more = relink(found, spark.read.schema(WORDS).parquet(f"{scratch.path}/words"), scratch, min_words, min_identity)
+    scratch.drop("words", "chains")
+    left = scratch.save(uncovered(later, passing(found)), "left")
+    parts = [found, *more, scratch.save(aligned(docs, left, scratch, "words", min_words, min_identity), "aligned_later")]
+    shared = scratch.save(reduce(DataFrame.unionByName, map(passing, parts)).distinct(), "shared")
     exact = shared.filter(F.col("distance") == 0)
     runs = exact.select(F.col("doc_id").alias("doc"), "start", "end", F.col("other_id").alias("other"), (F.col("start") - F.col("other_start")).alias("diagonal"))
     firsts = exact.select(F.col("other_id").alias("doc"), F.col("other_start").alias("start"), F.col("other_end").alias("end"), F.col("other_id").alias("other"), F.lit(0).cast("long").alias("diagonal"))
-    scratch.drop("words", "chains", "strong", "weak")
+    scratch.drop("words", "left", "aligned", "aligned_later", *[f"relinked-{i}" for i in range(len(more))])
     more = aligned(docs, whole_windows(docs, linked, runs.unionByName(firsts).distinct(), scratch), scratch, "whole_words", min_words, min_identity)
-    return shared.unionByName(more).distinct()
+    return shared.unionByName(passing(more)).distinct()
+
+
+def passing(found: DataFrame) -> DataFrame:
+    """The passages among aligned chains, the later document first."""
+    own, other = ("doc_id", "start", "end"), ("other_id", "other_start", "other_end")
+    turned = F.col("doc_id") < F.col("other_id")
+    sides = [F.when(turned, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (*zip(own, other, strict=True), *zip(other, own, strict=True))]
+    return found.filter("identity is not null").select(*sides, "distance", "identity")
+
+
+def relink(found: DataFrame, words: DataFrame, scratch: Scratch, min_words: int, min_identity: float) -> list[DataFrame]:
+    """Aligned links of places whose seed's first place is in no passage with them, to others than that. Two places can grow further together than with the first one only
+    if, past an end of what each has in common with it, both go on with the same two words (``MOVES``). So places meet again under the seed and those words, are linked to
+    one of them, and go on so until none that is still without a passage meets another: every group is smaller by that one than the one it is from."""
+    out: list[DataFrame] = []
+    while True:
+        n = len(out)
+        rows = (out[-1] if out else found).select("doc_id", "ra", "rb", "settled", F.explode(F.arrays_zip("keys", "places")).alias("e"))
+        rows = rows.select(F.col("doc_id").alias("doc"), F.col("e.places").alias("a"), "ra", "rb", F.col("e.keys").alias("key"), "settled")
+        own = W.partitionBy("doc", "a")
+        rows = scratch.save(rows.withColumn("settled", F.max("settled").over(own)).dropDuplicates(["key", "doc", "a"]), f"ends-{n}")
+        one = F.min(F.struct(~F.col("settled"), "doc", "a", "ra", "rb")).alias("f")
+        first = rows.groupBy("key").agg(one, F.min("doc").alias("y"), F.max("doc").alias("z"), F.min("settled").alias("all")).filter("y <> z and not all")
+        first = scratch.save(first.select("key", F.col("f.doc").alias("other"), F.col("f.a").alias("oa"), F.col("f.ra").alias("ora"), F.col("f.rb").alias("orb")), f"first_ends-{n}")
+        met = rows.join(first, "key").filter("doc <> other").withColumns({"b": F.col("a") + K, "ob": F.col("oa") + K})
+        made = scratch.save(compared(met, words, min_words, min_identity), f"relinked-{n}")
+        scratch.drop(f"ends-{n}", f"first_ends-{n}")
+        if made.isEmpty():
+            return out
+        out.append(made)
 
 
 def aligned(docs: DataFrame, found: DataFrame, scratch: Scratch, name: str, min_words: int, min_identity: float) -> DataFrame:
@@ -481,30 +539,61 @@ def aligned(docs: DataFrame, found: DataFrame, scratch: Scratch, name: str, min_
         }
     )
     ranges = wide.select("doc", "ra", "rb").unionByName(wide.select(F.col("other").alias("doc"), F.col("ora").alias("ra"), F.col("orb").alias("rb")))
-    words = words_in(docs, ranges, scratch, name)
+    return compared(wide.withColumns({"key": F.lit(0).cast("long"), "settled": F.lit(False)}), words_in(docs, ranges, scratch, name), min_words, min_identity)
+
+
+def compared(wide: DataFrame, words: DataFrame, min_words: int, min_identity: float) -> DataFrame:
+    """A row for each chain, whose ranges are in ``words``: the passage, with a null identity if it is too short or its copies differ too much, and the
+    ``keys`` of its ends for ``relink`` with the ``places`` of the seeds they are from."""
     other = words.select(F.col("doc").alias("other"), F.col("ra").alias("ora"), F.col("rb").alias("orb"), F.col("words").alias("owords"))
     both = wide.join(words, ["doc", "ra", "rb"]).join(other, ["other", "ora", "orb"])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in OUT.split(", ")]
-        types = [*[pa.int64()] * 6, pa.int32(), pa.float64()]
+        names = [c.split()[0] for c in ALIGNED.split(", ")]
+        types = [*[pa.int64()] * 6, pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()]
         for batch in batches:
             rows = []
-            columns = [batch.column(c).to_pylist() for c in ("doc", "a", "b", "other", "oa", "ob", "ra", "ora")]
-            for doc, a, b, oth, oa, ob, ra, ora, x, y in zip(*columns, batch.column("words"), batch.column("owords"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+            columns = [batch.column(c).to_pylist() for c in ("doc", "a", "b", "other", "oa", "ob", "ra", "ora", "rb", "settled")]
+            xs = [np.frombuffer(x.as_buffer(), U) for x in batch.column("words")]
+            for doc, a, b, oth, oa, ob, ra, ora, rb, settled, x, y in zip(*columns, xs, batch.column("owords"), strict=True):
+                y = np.frombuffer(y.as_buffer(), U)
                 i, j = grow(x, y, a - ra - 1, oa - ora - 1, -1)
                 s, t = grow(x, y, b - ra, ob - ora, 1)
                 i, j = i + 1, j + 1
-                n = max(s - i, t - j)
-                if min(s - i, t - j) < min_words:
-                    continue
-                d = distance(x[i:s], y[j:t])
-                if 1 - d / n >= min_identity:
-                    rows.append((doc, ra + i, ra + s, oth, ora + j, ora + t, d, 1 - d / n))
-            yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
-
-    return both.select("doc", "a", "b", "other", "oa", "ob", "ra", "ora", "words", "owords").mapInArrow(align, OUT)
+                n, d, same = max(s - i, t - j), None, None
+                if min(s - i, t - j) >= min_words:
+                    d = distance(x[i:s], y[j:t])
+                    same = 1 - d / n if 1 - d / n >= min_identity else None
+                rows.append((doc, ra + i, ra + s, oth, ora + j, ora + t, d, same, ra, rb, settled or same is not None))
+            arrays = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+            yield pa.record_batch([*arrays, *ends(xs, rows, np.array(columns[1], np.int64), np.array(columns[2], np.int64), batch.column("key").to_numpy())], names)
+
+    return both.select("doc", "a", "b", "other", "oa", "ob", "ra", "ora", "rb", "settled", "key", "words", "owords").mapInArrow(align, ALIGNED)
+
+
+def ends(xs: list[np.ndarray], rows: list[tuple], a: np.ndarray, b: np.ndarray, key: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """For each chain, hashes of its outermost seed (or of the key it is from) with two words that follow its grown end at once or up to three words on; on both sides."""
+    size = np.array([len(x) for x in xs], np.int64)
+    start, ra = np.cumsum(size) - size, np.array([r[8] for r in rows], np.int64)
+    low, high = np.array([r[1] for r in rows], np.int64) - ra, np.array([r[2] for r in rows], np.int64) - ra
+    flat, key = np.concatenate([*xs, np.zeros(K, U)]), key.view(U)
+    row, made, place = [np.zeros(0, np.int64)], [np.zeros(0, U)], [np.zeros(0, np.int64)]
+    for side, at in enumerate((b - K, a)):
+        gram = np.zeros(len(xs), U)
+        for j in range(K):
+            gram = mix64(gram * STEP + flat[start + at - ra + j])
+        base = mix64(np.where(key == 0, gram, key) + SIDES[side])
+        for skip in range(1 + max(max(m) for m in MOVES)):
+            x = low - skip - 2 if side else high + skip
+            ok = np.flatnonzero((x >= 0) & (x + 2 <= size))
+            here = start[ok] + x[ok]
+            row.append(ok)
+            made.append(mix64(mix64(base[ok] * STEP + flat[here]) * STEP + flat[here + 1]))
+            place.append(at[ok])
+    row_, made_, place_ = map(np.concatenate, (row, made, place))
+    order = np.argsort(row_, kind="stable")
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(row_, minlength=len(xs))))).astype(np.int32)
+    return tuple(pa.ListArray.from_arrays(pa.array(offsets), pa.array(v[order].view(np.int64))) for v in (made_, place_))
 
 
 def both_sides(shared: DataFrame) -> DataFrame:

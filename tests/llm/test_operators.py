@@ -535,6 +535,32 @@ def test_fuzzy_passages_by_identity(spark):
     assert recall[0] == 1 and recall[1] >= 0.95 and recall[2] >= 0.85 and recall[3] >= 0.5, recall
 
 
+def test_passages_whose_seed_is_first_elsewhere(spark):
+    """Pairs whose only common seeds are in a line that a first document has without the rest, and that all pairs have."""
+    rng = random.Random(46)
+    text = lambda n: [f"w{rng.randrange(20_000)}" for _ in range(n)]
+    line, docs, want = text(12), [], set()
+    docs.append((0, text(30) + line + text(30)))
+    for n in range(1, 21):
+        left, right = text(24), text(24)
+        change = lambda w: [x if i % 5 else "changed" for i, x in enumerate(w, 1 + n % 3)]
+        docs += [(2 * n, text(20) + left + line + right + text(20)), (2 * n + 1, text(35) + change(left) + line + change(right) + text(35))]
+        want.add((2 * n + 1, 2 * n))
+    found = {(r["doc_id"], r["other_id"]) for r in substring_dedup.passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")).collect()}
+    assert found == want
+
+
+def test_rounds_of_a_short_line_are_one_passage(spark):
+    """Texts that repeat two words many times share one passage, not one for each round; every repeated window is still found."""
+    rng = random.Random(56)
+    text = lambda n: [f"w{rng.randrange(20_000)}" for _ in range(n)]
+    docs = [(i, text(20) + ["is", "onhe."] * n + text(20)) for i, n in enumerate((90, 60, 90, 75, 60, 90))]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    assert substring_dedup.passages(df).count() <= 30
+    missed, want = missed_windows(df)
+    assert not missed and sum(map(len, want.values())) > 500
+
+
 def test_chain_prefers_order():
     found = substring_dedup.anchors(np.array([0, 10, 20, 40]), np.array([100, 110, 120, 5]))
     best = substring_dedup.chains(found)[0]
