@@ -25,6 +25,25 @@ def give_back() -> None:
         trim(0)
 
 
+_KEPT: dict = {}
+
+
+def keep(key, make):
+    """What ``make`` gives, kept between tasks of this worker under the key. Operators share the one place: what another one kept is let go first, so that the stages
+    of a pipeline do not add up in their workers."""
+    if key not in _KEPT:
+        forget()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Lets go of what this worker keeps."""
+    if _KEPT:
+        _KEPT.clear()
+        give_back()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df

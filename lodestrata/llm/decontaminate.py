@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import keep, text_slices
 
 RATE = 0.08
 UNIT_CHARS = 120
@@ -160,15 +160,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, unit_chars:
     return reduce(DataFrame.unionByName, [_pass(docs, share(block), rate, unit_chars) for block in item_blocks(benchmark, block_bytes)])
 
 
-_MATCHERS: dict[str, Matcher] = {}
-
-
 def _matcher(key: str, items, rate: float, unit_chars: int) -> Matcher:
     """One per Python worker, kept between tasks."""
-    if key not in _MATCHERS:
-        _MATCHERS.clear()
-        _MATCHERS[key] = Matcher(items.value, rate, unit_chars)
-    return _MATCHERS[key]
+    return keep(("matcher", key), lambda: Matcher(items.value, rate, unit_chars))
 
 
 def _pass(docs: DataFrame, items, rate: float, unit_chars: int) -> DataFrame:

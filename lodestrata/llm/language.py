@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import HashIndex, segment_sums, text_slices, unused, word_hashes, words_of
+from .common import HashIndex, keep, segment_sums, text_slices, unused, word_hashes, words_of
 
 MAX_DOCS, MAX_WORDS, MAX_TOTAL = 500, 120, 20_000
 LONGEST = 24
@@ -234,15 +234,8 @@ class Labeller:
         return segment_sums(self.sums[where], starts) / np.maximum(size, 1)[:, None], size
 
 
-_LABELLERS: dict[int, Labeller] = {}
-
-
 def labeller(net: Network) -> Labeller:
-    key = zlib.crc32(net.weights["out"].tobytes())
-    if key not in _LABELLERS:
-        _LABELLERS.clear()
-        _LABELLERS[key] = Labeller(net)
-    return _LABELLERS[key]
+    return keep(("labeller", zlib.crc32(net.weights["out"].tobytes())), lambda: Labeller(net))
 
 
 def predict(docs: DataFrame, net: Network | None, text_col: str = "text") -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_slices, word_hashes, words_of
+from .common import Scratch, forget, text_slices, word_hashes, words_of
 from .components import connected
 from .lm import U, mix64
 
@@ -108,6 +108,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, set size, class digest and registers of every row; an empty set has neither."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for part in text_slices(batches):
             starts, sets = shingles(part.column("text"), k)
             n = np.diff(starts)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import HashIndex, Scratch, give_back, ragged, text_slices, word_hashes, words_of
+from .common import HashIndex, Scratch, give_back, keep, ragged, text_slices, word_hashes, words_of
 
 MASK = 0xA282EAD8  # fixed value
 HEAD = "<BqQQB"
@@ -192,16 +192,9 @@ class WordEncoder:
             at = end
 
 
-_ENCODERS: dict[int, WordEncoder | TextEncoder] = {}
-
-
 def encoder(spec: str) -> WordEncoder | TextEncoder:
     """One per Python worker, kept between tasks."""
-    key = zlib.crc32(spec.encode())
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = WordEncoder(spec) if by_words(spec) else TextEncoder(spec)
-    return _ENCODERS[key]
+    return keep(("encoder", zlib.crc32(spec.encode())), lambda: WordEncoder(spec) if by_words(spec) else TextEncoder(spec))
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> None:

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashIndex, Scratch, segment_sums, text_slices, unused, word_hashes, words_of
+from .common import HashIndex, Scratch, forget, keep, segment_sums, text_slices, unused, word_hashes, words_of
 
 MAX_ROWS, FOLDS = 5000, 4
 CACHE_WORDS = 1_500_000
@@ -262,6 +262,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
     """word, fold, bad, n: in how many toxic rows and rows in all of each fold a word is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for part in text_slices(batches):
             starts, codes, words = words_of(part.column("text"))
             toxic, fold = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("toxic", "fold"))
@@ -300,6 +301,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX_R
     lexica = [learn_lexicon(counts, totals, weights, f) for f in (*range(FOLDS), -1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         extract = [Extractor(lexicon) for lexicon in lexica]
         for part in text_slices(batches):
             x = np.concatenate([e(part.column("text")) for e in extract], axis=1)
@@ -314,15 +316,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_rows: int = MAX_R
     return fit_model(lexica[-1], x[-1], found["toxic"].to_numpy(float), weight, found["fold"].to_numpy(), x[:-1])
 
 
-_EXTRACTORS: dict[int, Extractor] = {}
-
-
 def extractor(model: Model) -> Extractor:
-    key = zlib.crc32(repr(sorted(model.lexicon.items())).encode())
-    if key not in _EXTRACTORS:
-        _EXTRACTORS.clear()
-        _EXTRACTORS[key] = Extractor(model.lexicon)
-    return _EXTRACTORS[key]
+    return keep(("extractor", zlib.crc32(repr(sorted(model.lexicon.items())).encode())), lambda: Extractor(model.lexicon))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "toxicity") -> DataFrame:

@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodestrata.llm import decontaminate, language, lm, mixing, near_dedup, neighbours, queries, substring_dedup, token_records, toxicity, url_filters
+from lodestrata.llm import common, decontaminate, language, lm, mixing, near_dedup, neighbours, queries, substring_dedup, token_records, toxicity, url_filters
 from lodestrata.llm.common import Scratch, fold
 from lodestrata.llm.components import connected
 
@@ -561,6 +561,17 @@ def test_rounds_of_a_short_line_are_one_passage(spark):
     assert not missed and sum(map(len, want.values())) > 500
 
 
+def test_a_worker_keeps_one_operators_object():
+    spec = Path(TOKENIZER).read_text(encoding="utf-8")
+    first = token_records.encoder(spec)
+    assert token_records.encoder(spec) is first
+    model = toxicity.Model({}, None, np.zeros(1), np.zeros(1))
+    assert toxicity.extractor(model) is toxicity.extractor(model) and len(common._KEPT) == 1
+    assert token_records.encoder(spec) is not first
+    common.forget()
+    assert not common._KEPT
+
+
 def test_chain_prefers_order():
     found = substring_dedup.anchors(np.array([0, 10, 20, 40]), np.array([100, 110, 120, 5]))
     best = substring_dedup.chains(found)[0]
