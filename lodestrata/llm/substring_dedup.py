@@ -487,8 +487,9 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     chained, later, linked = link(docs, scratch)
     found = scratch.save(aligned(docs, chained, scratch, "words", min_words, min_identity), "aligned")
+    scratch.drop("chains")
     more = relink(found, spark.read.schema(WORDS).parquet(f"{scratch.path}/words"), scratch, min_words, min_identity)
-    scratch.drop("words", "chains")
+    scratch.drop("words")
     left = scratch.save(uncovered(later, passing(found)), "left")
     parts = [found, *more, scratch.save(aligned(docs, left, scratch, "words", min_words, min_identity), "aligned_later")]
     shared = scratch.save(reduce(DataFrame.unionByName, map(passing, parts)).distinct(), "shared")
