@@ -443,15 +443,20 @@ def whole_windows(docs: DataFrame, linked: DataFrame, runs: DataFrame, scratch:
 
 def texts_of(docs: DataFrame, asked: DataFrame, ids: DataFrame) -> DataFrame:
     """The columns of ``asked``, which has ``doc``, with the texts of its documents; ``ids`` has the same documents."""
-    bits = docs.sparkSession.sparkContext.broadcast(id_filter(ids, "doc"))
+    return of_ids(docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").alias("doc"), "text"), ids).join(asked, "doc")
+
+
+def of_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose ``doc`` is in ``ids``, and a few others, without a shuffle."""
+    bits = rows.sparkSession.sparkContext.broadcast(id_filter(ids, "doc"))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pos = batch.column("p").to_numpy()
             yield batch.filter(pa.array((bits.value[pos >> 3] >> (7 - (pos & 7)).astype(np.uint8) & 1).astype(bool)))
 
-    hashed = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").alias("doc"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).cast("long").alias("p"))
-    return hashed.mapInArrow(pick, hashed.schema).drop("p").join(asked, "doc")
+    hashed = rows.withColumn("p", F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS)).cast("long"))
+    return hashed.mapInArrow(pick, hashed.schema).drop("p")
 
 
 def words_in(docs: DataFrame, ranges: DataFrame, scratch: Scratch, name: str = "words") -> DataFrame:
@@ -524,8 +529,10 @@ def relink(found: DataFrame, words: DataFrame, scratch: Scratch, min_words: int,
         first = rows.groupBy("key").agg(one, F.min("doc").alias("y"), F.max("doc").alias("z"), F.min("settled").alias("all")).filter("y <> z and not all")
         first = scratch.save(first.select("key", F.col("f.doc").alias("other"), F.col("f.a").alias("oa"), F.col("f.ra").alias("ora"), F.col("f.rb").alias("orb")), f"first_ends-{n}")
         met = rows.join(first, "key").filter("doc <> other").withColumns({"b": F.col("a") + K, "ob": F.col("oa") + K})
-        made = scratch.save(compared(met, words, min_words, min_identity), f"relinked-{n}")
-        scratch.drop(f"ends-{n}", f"first_ends-{n}")
+        met = scratch.save(met, f"met-{n}")
+        ids = met.select("doc").unionByName(met.select(F.col("other").alias("doc")))
+        made = scratch.save(compared(met, of_ids(words, ids), min_words, min_identity), f"relinked-{n}")
+        scratch.drop(f"ends-{n}", f"first_ends-{n}", f"met-{n}")
         if made.isEmpty():
             return out
         out.append(made)
