@@ -44,6 +44,13 @@ def forget() -> None:
         give_back()
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Has the executors' JVMs collect their garbage, as one task per core. Heap and direct buffers that a stage grew go back to the system; else they stay beside
+    what the Python workers of the next one take. An executor whose cores are all busy may be left out, which costs memory and nothing else."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).selectExpr("java_method('java.lang.System', 'gc')").collect()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df

@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -123,7 +124,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = MAX_RE
     counted = Scratch(spark, "mixing").save(sized.groupBy("_s", "size", "_b").agg(F.count("*").alias("n")), "lengths")
     sums = counted.groupBy("_s").agg(F.sum(F.col("size") * F.col("n")).alias("words")).collect()  # one row per source
     sources = sorted(((r["_s"], r["words"]) for r in sums), key=lambda r: (r[0] == "", r[0].encode()))
-    plan = spark.createDataFrame([(s, n, t) for (s, n), t in zip(sources, targets(sources, weights, cap), strict=True)], "_s string, source_size long, target double")
+    names, words = [s for s, _ in sources], [n for _, n in sources]
+    columns = [pa.array(names, pa.string()), pa.array(words, pa.int64()), pa.array(targets(sources, weights, cap), pa.float64())]
+    plan = spark.createDataFrame(pa.table(columns, ["_s", "source_size", "target"]))  # as an Arrow table: a list would start Python workers of another kind, which stay for a minute
 
     def knapsack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("size").reset_index(drop=True)

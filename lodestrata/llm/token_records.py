@@ -34,6 +34,7 @@ from .common import HashIndex, Scratch, give_back, keep, ragged, text_slices, wo
 MASK = 0xA282EAD8  # fixed value
 HEAD = "<BqQQB"
 SHARD_BYTES = 16 << 20
+ENCODE_BYTES = 1 << 20
 CACHE_WORDS = 2_000_000
 JOIN_WORDS = 500
 GATHER_WORDS = 50_000
@@ -210,7 +211,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, before = encoder(spec.value), 0
         last = np.array([end_id], f"<u{enc.width}").tobytes()
-        for part in text_slices(batches):
+        for part in text_slices(batches, limit=ENCODE_BYTES):
             out = []
             for doc, ids in zip(part.column("doc_id").to_pylist(), enc.each(part.column("text")), strict=True):
                 own = ids.tobytes() + last

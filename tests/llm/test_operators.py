@@ -369,6 +369,21 @@ def test_myers_against_the_table():
         assert (got[0] if got else len(p)) == best
 
 
+def test_mixing_starts_no_rdd_workers(spark):
+    """A list of rows becomes an RDD that Python workers of another kind than those of Arrow batches read."""
+    plan = mixing.mix(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().toString()
+    assert "LocalRelation" in plan and "LogicalRDD" not in plan and "ExistingRDD" not in plan
+
+
+def test_encoding_holds_little_beside_its_text():
+    """The most that a slice of texts takes, next to the known words."""
+    assert token_records.ENCODE_BYTES <= 1 << 20
+    text = pa.array([" ".join(f"w{i}x{j}" for j in range(100)) for i in range(9000)])
+    batch = pa.record_batch([text], ["text"])
+    parts = list(common.text_slices(iter([batch]), limit=token_records.ENCODE_BYTES))
+    assert len(parts) > 5 and pa.concat_arrays([p.column(0) for p in parts]).equals(text)
+
+
 def test_mixing(spark, odd, none):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = mixing.mix(docs).toPandas()

@@ -46,6 +46,17 @@ def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontamination", "mixing", "token_records"]
 
 
+def test_stages_begin_with_collected_heaps(spark):
+    """Executors are threads of this JVM here."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    collections = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    before = collections()
+    corpus_pipeline.drop_contaminated(spark, docs, SF)
+    assert collections() > before
+    assert all(hasattr(run, "__wrapped__") for _, run in corpus_pipeline.STAGES)
+
+
 def test_toxic_documents_go(spark):
     """On the larger table, whose labels are enough to learn from."""
     sf = "/root/testdata/sf0.01"
