@@ -494,7 +494,6 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     found = scratch.save(aligned(docs, chained, scratch, "words", min_words, min_identity), "aligned")
     scratch.drop("chains")
     more = relink(found, spark.read.schema(WORDS).parquet(f"{scratch.path}/words"), scratch, min_words, min_identity)
-    scratch.drop("words")
     left = scratch.save(uncovered(later, passing(found)), "left")
     parts = [found, *more, scratch.save(aligned(docs, left, scratch, "words", min_words, min_identity), "aligned_later")]
     shared = scratch.save(reduce(DataFrame.unionByName, map(passing, parts)).distinct(), "shared")
@@ -517,23 +516,29 @@ def passing(found: DataFrame) -> DataFrame:
 def relink(found: DataFrame, words: DataFrame, scratch: Scratch, min_words: int, min_identity: float) -> list[DataFrame]:
     """Aligned links of places whose seed's first place is in no passage with them, to others than that. Two places can grow further together than with the first one only
     if, past an end of what each has in common with it, both go on with the same two words (``MOVES``). So places meet again under the seed and those words, are linked to
-    one of them, and go on so until none that is still without a passage meets another: every group is smaller by that one than the one it is from."""
+    one of them, and go on so until none that is still without a passage meets another: every group is smaller by that one than the one it is from. ``words``
+    is the scratch table of that name, which is deleted once the first round has its part of it."""
     out: list[DataFrame] = []
     while True:
         n = len(out)
         rows = (out[-1] if out else found).select("doc_id", "ra", "rb", "settled", F.explode(F.arrays_zip("keys", "places")).alias("e"))
         rows = rows.select(F.col("doc_id").alias("doc"), F.col("e.places").alias("a"), "ra", "rb", F.col("e.keys").alias("key"), "settled")
-        own = W.partitionBy("doc", "a")
-        rows = scratch.save(rows.withColumn("settled", F.max("settled").over(own)).dropDuplicates(["key", "doc", "a"]), f"ends-{n}")
+        rows = rows.withColumn("settled", F.max("settled").over(W.partitionBy("doc", "a")))
+        widest = F.max(F.struct(F.col("rb") - F.col("ra"), "ra", "rb")).alias("r")  # has the most words to grow into
+        rows = rows.groupBy("key", "doc", "a").agg(widest, F.max("settled").alias("settled")).select("doc", "a", "r.ra", "r.rb", "key", "settled")
+        rows = scratch.save(rows, f"ends-{n}")
         one = F.min(F.struct(~F.col("settled"), "doc", "a", "ra", "rb")).alias("f")
         first = rows.groupBy("key").agg(one, F.min("doc").alias("y"), F.max("doc").alias("z"), F.min("settled").alias("all")).filter("y <> z and not all")
         first = scratch.save(first.select("key", F.col("f.doc").alias("other"), F.col("f.a").alias("oa"), F.col("f.ra").alias("ora"), F.col("f.rb").alias("orb")), f"first_ends-{n}")
         met = rows.join(first, "key").filter("doc <> other").withColumns({"b": F.col("a") + K, "ob": F.col("oa") + K})
         met = scratch.save(met, f"met-{n}")
         ids = met.select("doc").unionByName(met.select(F.col("other").alias("doc")))
-        made = scratch.save(compared(met, of_ids(words, ids), min_words, min_identity), f"relinked-{n}")
-        scratch.drop(f"ends-{n}", f"first_ends-{n}", f"met-{n}")
+        words = scratch.save(of_ids(words, ids), f"words-{n}")  # the next round's documents are among these
+        scratch.drop(f"words-{n - 1}" if n else "words", f"ends-{n}", f"first_ends-{n}")
+        made = scratch.save(compared(met, words, min_words, min_identity), f"relinked-{n}")
+        scratch.drop(f"met-{n}")
         if made.isEmpty():
+            scratch.drop(f"words-{n}", f"relinked-{n}")
             return out
         out.append(made)
 
@@ -547,14 +552,22 @@ def aligned(docs: DataFrame, found: DataFrame, scratch: Scratch, name: str, min_
         }
     )
     ranges = wide.select("doc", "ra", "rb").unionByName(wide.select(F.col("other").alias("doc"), F.col("ora").alias("ra"), F.col("orb").alias("rb")))
-    return compared(wide.withColumns({"key": F.lit(0).cast("long"), "settled": F.lit(False)}), words_in(docs, ranges, scratch, name), min_words, min_identity)
+    words = words_in(docs, ranges, scratch, name)
+    scratch.drop()
+    return compared(wide.withColumns({"key": F.lit(0).cast("long"), "settled": F.lit(False)}), words, min_words, min_identity)
 
 
 def compared(wide: DataFrame, words: DataFrame, min_words: int, min_identity: float) -> DataFrame:
     """A row for each chain, whose ranges are in ``words``: the passage, with a null identity if it is too short or its copies differ too much, and the
     ``keys`` of its ends for ``relink`` with the ``places`` of the seeds they are from."""
-    other = words.select(F.col("doc").alias("other"), F.col("ra").alias("ora"), F.col("rb").alias("orb"), F.col("words").alias("owords"))
-    both = wide.join(words, ["doc", "ra", "rb"]).join(other, ["other", "ora", "orb"])
+
+    def side(*to: str) -> DataFrame:
+        """The words under other names: both sides have new ones, so that they are one plan to Spark, which then shuffles the words once."""
+        return words.select(*[F.col(x).alias(y) for x, y in zip(("doc", "ra", "rb", "words"), to, strict=True)])
+
+    own, other = side("_doc", "_ra", "_rb", "words_"), side("_other", "_ora", "_orb", "owords")
+    both = wide.join(own, (F.col("doc") == F.col("_doc")) & (F.col("ra") == F.col("_ra")) & (F.col("rb") == F.col("_rb")))
+    both = both.join(other, (F.col("other") == F.col("_other")) & (F.col("ora") == F.col("_ora")) & (F.col("orb") == F.col("_orb"))).withColumnRenamed("words_", "words")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in ALIGNED.split(", ")]

@@ -32,10 +32,12 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:
-        """Deletes the tables, and has Spark delete the shuffle files of frames that nothing refers to any more: it does so only after a collection in the driver."""
+        """Deletes the tables, and has Spark delete the shuffle files of frames that nothing refers to any more: it does so only after a collection in the driver. A job
+        without tasks goes first, since Spark's listeners hold the last event they were told of, and the end of a query refers to all of its shuffles."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         for name in names:
             fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)
         gc.collect()
+        self.spark.sparkContext._jsc.emptyRDD().count()
         self.spark._jvm.System.gc()

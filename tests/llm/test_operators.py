@@ -4,6 +4,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -576,6 +577,38 @@ def test_rounds_of_a_short_line_are_one_passage(spark):
     assert not missed and sum(map(len, want.values())) > 500
 
 
+def test_shuffle_files_of_the_last_table_go_when_scratch_is_freed(spark):
+    """Nothing has to run after a table is written for the shuffle files of its query to be deleted."""
+    scratch, blocks = Scratch(spark, "freed"), spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: set(re.findall(r"shuffle_(\d+)_", blocks.getAllBlocks().mkString(" ")))
+    before = held()
+    scratch.save(spark.range(1000).repartition(3, "id"), "table")
+    own = held() - before
+    assert own
+    scratch.drop("table")
+    until = time.time() + 10
+    while own & held() and time.time() < until:
+        time.sleep(0.1)
+    assert not own & held()
+
+
+def test_words_of_both_sides_are_shuffled_once(spark):
+    h, scratch = np.arange(64, dtype=np.uint64), Scratch(spark, "once")
+    words_ = scratch.save(spark.createDataFrame([(i, 0, 64, bytearray(h.tobytes())) for i in (1, 2)], substring_dedup.WORDS), "words")
+    names = "doc long, a long, b long, other long, oa long, ob long, ra long, rb long, ora long, orb long, key long, settled boolean"
+    wide = scratch.save(spark.createDataFrame([(2, 20, 28, 1, 20, 28, 0, 64, 0, 64, 0, False)], names), "wide")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = substring_dedup.compared(wide, words_, 50, 0.8)
+        row = df.first()
+        assert (row["doc_id"], row["start"], row["end"], row["other_id"], row["distance"]) == (2, 0, 64, 1, 0)
+        df.collect()
+        assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
 def test_a_worker_keeps_one_operators_object():
     spec = Path(TOKENIZER).read_text(encoding="utf-8")
     first = token_records.encoder(spec)
