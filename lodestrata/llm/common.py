@@ -94,7 +94,7 @@ def words_of(text: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarra
     lists = pc.ascii_split_whitespace(pc.ascii_lower(text) if lower else text)
     coded = lists.flatten().dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False)
-    words = coded.dictionary.to_pylist()
+    words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # a tenth of the time of to_pylist
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     if "" in words:
         keep = codes != words.index("")
@@ -121,8 +121,12 @@ class HashIndex:
         """Numbers of the hashes, -1 where unknown."""
         if not len(self.keys):
             return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, self.place[at], -1)
+        order = np.argsort(hashes)  # in order they are looked up near one another
+        own = hashes[order]
+        at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+        out = np.empty(len(hashes), np.int64)
+        out[order] = np.where(self.keys[at] == own, self.place[at], -1)
+        return out
 
     def add(self, hashes: np.ndarray) -> None:
         """Distinct hashes that are not yet known."""

@@ -179,8 +179,8 @@ class WordEncoder:
         place = self.known.find(hashes)
         unseen = [i for i in np.flatnonzero(place < 0).tolist() if words[i]]
         if unseen:
+            place[unseen] = len(self.known) + np.arange(len(unseen))
             self._learn([words[i] for i in unseen], hashes[unseen])
-            place = self.known.find(hashes)
         del words, hashes, unseen
         at = 0
         while at < len(text):

@@ -196,6 +196,30 @@ def test_damaged_records_are_found():
         token_records.read_frame(memoryview(data), 0)
 
 
+def test_distinct_words_are_taken_from_arrow_at_once():
+    """Taking them one by one costs more than all else that is done to split a text."""
+    text = pa.array([" ".join(f"w{i}x{j} É{j}" for j in range(200)) for i in range(200)] + [None, "", "  "])
+    plain = sorted({w for t in text.to_pylist() for w in WORD.findall(t or "")})
+    cost = lambda f: -time.process_time() + (f(), time.process_time())[1]
+    least = lambda f: min(cost(f) for _ in range(5))
+    assert least(lambda: common.words_of(text)) < least(pa.array(plain).to_pylist)
+    starts, codes, found = common.words_of(text)
+    assert sorted(w for w in found if w) == plain and [found[c] for c in codes[starts[3] : starts[4]]] == WORD.findall(text[3].as_py())
+
+
+def test_hash_index_against_a_dictionary():
+    rng, index, plain = np.random.default_rng(5), common.HashIndex(), {}
+    assert index.find(np.zeros(2, np.uint64)).tolist() == [-1, -1]
+    for _ in range(4):
+        new = np.setdiff1d(rng.integers(0, 5000, 900, np.uint64), np.fromiter(plain, np.uint64, len(plain)))
+        rng.shuffle(new)
+        index.add(new)
+        plain |= {h: len(plain) + i for i, h in enumerate(new.tolist())}
+        asked = rng.integers(0, 6000, 2000, np.uint64)
+        assert index.find(asked).tolist() == [plain.get(h, -1) for h in asked.tolist()]
+    assert index.find(asked[:0]).tolist() == []
+
+
 def test_word_encoder_equals_whole_texts():
     enc, tok, rng = token_records.WordEncoder(open(TOKENIZER, encoding="utf-8").read()), Tokenizer.from_file(TOKENIZER), random.Random(1)
     signs = "aAbBéÉeß.,;:!?'’s \t\n\x0b\x1c\x85  <|>endoftext0123456789%&*-́ŽžİΣσ漢字"
